@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
@@ -30,13 +31,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files go when their SQL execution ends: its result is a written table."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def cut(df: DataFrame, name: str, compression: str = "zstd", partition: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here,
     a lost executor costs a re-read, and later reads do no work twice."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/turnloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
     _SCRATCH.append(path)
+    writer = df.write.option("compression", compression)
+    with shuffle_files_go(spark):
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,9 @@ Neither the vocabulary nor the bigrams have a bound, so no model is broadcast. T
 once into *segments* of a few MB (word ids of the segment's own dictionary); what a segment needs
 to know of the corpus is gathered by hash ranges and sent back to it:
 
-1. segments write their dictionaries with training counts, a blob a hash range;
+1. segments send their dictionaries with training counts, a blob a hash range;
 2. each range adds the counts up and answers every segment's words;
-3. segments write their bigrams the same way, dealt by context, or by the bigram itself where the
+3. segments send their bigrams the same way, dealt by context, or by the bigram itself where the
    context is so frequent that its followers would overload one range;
 4. ranges answer with bigram counts and the number of different followers of the context;
 5. each segment builds its part of the automaton and traverses its texts.
@@ -49,26 +49,43 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def _by_range(r: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order that groups equal ranges (stable), and (range, begin, end) of each group."""
-    order = np.argsort(r.astype(np.uint16) if len(r) == 0 or r.max() < 1 << 16 else r, kind="stable")
-    rs = r[order]
-    cuts = np.flatnonzero(np.diff(rs)) + 1
-    b = np.concatenate([[0], cuts, [len(rs)]]) if len(rs) else np.zeros(1, np.int64)
-    return order, [(int(rs[x]), int(x), int(y)) for x, y in zip(b[:-1], b[1:], strict=True)]
+def _pack_ids(a: np.ndarray) -> bytes:
+    """Byte planes: frequent words have small ids, so the upper planes nearly vanish."""
+    return _pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
-_PART = "kind string, seg string, r int, n long, doc_ids array<{id}>, held array<boolean>, a binary, b binary, c binary"
-_COLS = ["kind", "seg", "r", "n", "doc_ids", "held", "a", "b", "c"]
+def _unpack_ids(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _rows(rows: list[tuple], id_type: pa.DataType) -> pa.Table:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _COLS)
+def _groups(rs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, begin, end) of each run of a sorted array."""
+    if not len(rs):
+        return []
+    b = np.concatenate([[0], np.flatnonzero(np.diff(rs)) + 1, [len(rs)]])
+    return [(int(rs[x]), int(x), int(y)) for x, y in zip(b[:-1], b[1:], strict=True)]
 
 
-def segments(docs: DataFrame, n_ranges: int, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Rows ``seg`` (word ids, dictionary, word counts of the texts) and ``part`` (dictionary by range)."""
+def _word_order(u: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    r = (u % C._U(n_ranges)).astype(np.int64)
+    order = np.argsort(r, kind="stable")
+    return order, r[order]
+
+
+_SEG = "seg string, n long, doc_ids array<{id}>, held array<boolean>, ids binary, words binary, sizes binary"
+_LOW48 = C._U((1 << 48) - 1)
+
+
+def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+
+_STR, _INT, _LONG, _BIN = pa.string(), pa.int32(), pa.int64(), pa.binary()
+
+
+def segments(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """A row a segment: its texts as word ids, its dictionary (frequent words first), word counts
+    of the texts, and ``n``, its training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,23 +94,32 @@ def segments(docs: DataFrame, n_ranges: int, segment_bytes: int = SEGMENT_BYTES)
                 size = np.diff(first) + 1
                 tok = np.full(len(h) + j - i, _END, np.uint64)
                 tok[np.arange(len(h)) + np.repeat(np.arange(j - i), size - 1)] = h
-                ids_col = batch.column(0).slice(i, j - i)
+                doc_ids = batch.column(0).slice(i, j - i)
                 held = np.asarray(batch.column(2).slice(i, j - i).to_pylist(), bool)
                 u, inv, n = np.unique(tok, return_inverse=True, return_counts=True)
                 rank = np.empty(len(u), np.int32)
                 by = np.argsort(-n, kind="stable")
                 rank[by] = np.arange(len(u), dtype=np.int32)
-                ids, u = rank[inv], u[by]
-                train = np.bincount(ids, weights=np.repeat(~held, size), minlength=len(u)).astype(np.int64)
-                seg = uuid.uuid4().hex
-                rows = [("seg", seg, -1, int(size[~held].sum()), ids_col.to_pylist(), held.tolist(), _pack(ids), _pack(u), _pack(size.astype(np.int32)))]
-                order, groups = _by_range((u % C._U(n_ranges)).astype(np.int64))
-                for r, x, y in groups:
-                    rows.append(("part", seg, r, y - x, None, None, _pack(u[order[x:y]]), _pack(train[order[x:y]]), None))
-                yield from _rows(rows, ids_col.type).to_batches()
+                row = (uuid.uuid4().hex, int(size[~held].sum()), doc_ids.to_pylist(), held.tolist(), _pack_ids(rank[inv]), _pack(u[by]), _pack(size.astype(np.int32)))
+                fields = [("seg", _STR), ("n", _LONG), ("doc_ids", pa.list_(doc_ids.type)), ("held", pa.list_(pa.bool_())), ("ids", _BIN), ("words", _BIN), ("sizes", _BIN)]
+                yield from _table([row], fields).to_batches()
+
+    return docs.mapInArrow(run, _SEG.format(id=docs.schema["doc_id"].dataType.simpleString()))
+
+
+def _word_parts(n_ranges: int):
+    """Step 1: a segment's words and training counts, a row a hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                ids, u, size = _unpack_ids(one["ids"]), _unpack(one["words"], np.uint64), _unpack(one["sizes"], np.int32)
+                train = np.bincount(ids, weights=np.repeat(~np.asarray(one["held"], bool), size), minlength=len(u)).astype(np.int64)
+                order, rs = _word_order(u, n_ranges)
+                rows = [(one["seg"], r, _pack(u[order[x:y]]), _pack(train[order[x:y]])) for r, x, y in _groups(rs)]
+                yield from _table(rows, [("seg", _STR), ("r", _INT), ("a", _BIN), ("b", _BIN)]).to_batches()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, _PART.format(id=kind))
+    return run
 
 
 def _count_words(hot_at: int):
@@ -111,9 +137,9 @@ def _count_words(hot_at: int):
         c = np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
         ends = np.cumsum(sizes)
         r = t["r"][0].as_py()
-        out = [("answer", s, r, 0, _pack(c[inv[e - n : e]])) for s, n, e in zip(segs, sizes, ends, strict=True)]
-        out.append(("sum", "", r, int((c > 0).sum()), u[c >= hot_at].tobytes()))
-        return pa.Table.from_arrays([pa.array([x[k] for x in out], ty) for k, ty in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "seg", "r", "n", "a"])
+        out = [("answer", s, r, 0, _pack(c[inv[e - n : e]]), None) for s, n, e in zip(segs, sizes, ends, strict=True)]
+        out.append(("sum", "", r, int((c > 0).sum()), u[c >= hot_at].tobytes(), None))
+        return _table(out, _ANSWER)
 
     return run
 
@@ -129,129 +155,147 @@ def _answers(parts: pa.Table, column: str, kind, order: np.ndarray) -> np.ndarra
     return out
 
 
-def _bigrams(ids: np.ndarray, u: np.ndarray, size: np.ndarray, c1: np.ndarray, min_state: int):
-    """(context id per token, -1 at a text's start; token places whose context is a state; their
-    distinct bigrams' hashes, contexts and index by place)."""
+def _bigrams(ids: np.ndarray, u: np.ndarray, size: np.ndarray, c1: np.ndarray, min_state: int, hot: np.ndarray, n_ranges: int) -> dict:
+    """The tokens whose context is a state, their distinct bigrams, and the order in which these
+    are asked for: by range, then by context."""
     prev = np.empty(len(ids), np.int64)
     prev[1:] = ids[:-1]
     prev[np.cumsum(size) - size] = -1
     place = np.flatnonzero((prev < 0) | (c1[np.maximum(prev, 0)] >= min_state))
-    ctx = np.where(prev[place] < 0, _START, u[np.maximum(prev[place], 0)])
+    state = prev[place]
+    ctx = np.where(state < 0, _START, u[np.maximum(state, 0)])
+    word = u[ids[place]] & _LOW48
+    g, at, inv = np.unique(_bigram_key(ctx, word), return_index=True, return_inverse=True)
+    ctx, word = ctx[at], word[at]
+    is_hot = np.isin(ctx, hot)
+    r = (np.where(is_hot, g, ctx) % C._U(n_ranges)).astype(np.int64)
+    order = np.lexsort((ctx, r))
+    return {"place": place, "state": state, "ctx": ctx, "word": word, "inv": inv, "hot": is_hot, "order": order, "r": r[order]}
+
+
+def _bigram_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Of a 64-bit context and the 48 bits of a word that travel (a clash needs one context)."""
     with np.errstate(over="ignore"):
-        g = C.mix64(ctx * C._U(C._P) + u[ids[place]])
-    first, at, inv = np.unique(g, return_index=True, return_inverse=True)
-    return prev, place, first, ctx[at], inv
+        return C.mix64(ctx * C._U(C._P) + word)
 
 
-def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STATE, n_ranges: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Score ``docs`` (doc_id, text, held boolean): learn from those not held, score all.
+def _pack_asked(ctx: np.ndarray, word: np.ndarray) -> tuple[bytes, bytes]:
+    runs = _groups_of(ctx)
+    return _pack(np.concatenate([np.array([len(runs)], np.uint64), ctx[runs], np.diff(np.append(runs, len(ctx))).astype(np.uint64)])), word.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    ``n_ranges`` defaults to spark.sql.shuffle.partitions, so it follows the size of the job.
-    """
-    spark = docs.sparkSession
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = f"{C.scratch_dir(spark)}/turnloom-{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        path = f"{base}/{name}"
-        df.write.option("compression", "none").partitionBy("kind").parquet(path)
-        C._SCRATCH.append(path)
-        return spark.read.schema(df.schema).parquet(path)
+def _groups_of(a: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
 
-    found = keep(segments(docs.select("doc_id", "text", "held"), ranges, segment_bytes), "words")
-    segs, parts = found.where("kind = 'seg'"), found.where("kind = 'part'")
-    n_train = int(segs.agg(F.sum("n")).first()[0] or 0)
 
-    answer = "kind string, seg string, r int, n long, a binary"
-    counted = keep(parts.select("seg", "r", "a", "b").groupBy("r").applyInArrow(_count_words(max(2, 2 * n_train // ranges)), answer), "counts")
-    sums = counted.where("kind = 'sum'").select("n", "a").collect()  # a row a range; few words can be hot
-    vocabulary = sum(x.n for x in sums)
-    hot = np.unique(np.concatenate([np.frombuffer(x.a, np.uint64) for x in sums] + [np.array([_START])]))
-    shared = spark.sparkContext.broadcast(hot)
+def _unpack_asked(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = _unpack(a, np.uint64)
+    k = int(x[0])
+    word = np.zeros((len(b) // 6, 8), np.uint8)
+    word[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return np.repeat(x[1 : k + 1], x[k + 1 :].astype(np.int64)), word.view(np.uint64).ravel()
 
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Step 3: word counts come in; texts' plain scores and the segment's bigrams go out."""
-        if not left.num_rows:
-            return _rows([], left.schema.field("doc_ids").type.value_type)
-        row = {k: left[k][0].as_py() for k in ("seg", "doc_ids", "held")}
-        ids, u, size = (_unpack(left[k][0].as_py(), t) for k, t in (("a", np.int32), ("b", np.uint64), ("c", np.int32)))
-        order, _ = _by_range((u % C._U(ranges)).astype(np.int64))
-        c1 = _answers(right, "a", np.int64, order)
-        id_type = left.schema.field("doc_ids").type.value_type
-        rows = [("seg", row["seg"], -1, 0, row["doc_ids"], row["held"], left["a"][0].as_py(), left["b"][0].as_py(), left["c"][0].as_py()), ("c1", row["seg"], -1, 0, None, None, _pack(c1), None, None)]
-        _, place, g, ctx, inv = _bigrams(ids, u, size, c1, min_state)
-        train = np.repeat(~np.asarray(row["held"], bool), size)[place]
-        n = np.bincount(inv, weights=train, minlength=len(g)).astype(np.int64)
-        is_hot = np.isin(ctx, shared.value)
-        order, groups = _by_range((np.where(is_hot, g, ctx) % C._U(ranges)).astype(np.int64))
-        for r, x, y in groups:
-            o = order[x:y]
-            cu, ci = np.unique(ctx[o], return_inverse=True)
-            rows.append(("part", row["seg"], r, y - x, None, None, _pack(g[o]), _pack(n[o].astype(np.int32)), _pack(np.concatenate([np.array([len(cu)], np.uint64), cu, ci.astype(np.uint64)]))))
-        return _rows(rows, id_type)
-
-    asked = keep(
-        segs.groupBy("seg").cogroup(counted.where("kind = 'answer'").select("seg", "r", "a").groupBy("seg")).applyInArrow(ask, _PART.format(id=id_kind)), "bigrams"
-    )
-
-    def count_bigrams(t: pa.Table) -> pa.Table:
-        """Step 4: counts of bigrams, and how many different words follow each context."""
-        segs_, sizes, gs, ns, cs = t["seg"].to_pylist(), [], [], [], []
+
+def _count_bigrams(hot):
+    """Range task of step 4: counts of bigrams, and how many different words follow each context
+    (for hot contexts a part of that number, to be added up over the ranges)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        segs, sizes, ctxs, words, ns = t["seg"].to_pylist(), [], [], [], []
         for a, b, c in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist(), strict=True):
-            gs.append(_unpack(a, np.uint64))
-            ns.append(_unpack(b, np.int32))
-            x = _unpack(c, np.uint64)
-            k = int(x[0])
-            cs.append(x[1 : k + 1][x[k + 1 :].astype(np.int64)])
-            sizes.append(len(gs[-1]))
-        u, at, inv = np.unique(np.concatenate(gs), return_index=True, return_inverse=True)
+            ctx, word = _unpack_asked(a, b)
+            ctxs.append(ctx)
+            words.append(word)
+            ns.append(_unpack(c, np.int32))
+            sizes.append(len(ctx))
+        ctx = np.concatenate(ctxs)
+        u, at, inv = np.unique(_bigram_key(ctx, np.concatenate(words)), return_index=True, return_inverse=True)
         c2 = np.bincount(inv, weights=np.concatenate(ns)).astype(np.int64)
-        cu, ci = np.unique(np.concatenate(cs)[at], return_inverse=True)
+        cu, ci = np.unique(ctx[at], return_inverse=True)
         follow = np.bincount(ci, weights=c2 > 0).astype(np.int64)
-        is_hot = np.isin(cu, shared.value)
+        is_hot = np.isin(cu, hot.value)
         t2 = np.where(is_hot, 0, follow)[ci]
         r, ends = t["r"][0].as_py(), np.cumsum(sizes)
         out = []
-        for s, n, e in zip(segs_, sizes, ends, strict=True):
+        for s, n, e in zip(segs, sizes, ends, strict=True):
             i = inv[e - n : e]
             out.append(("answer", s, r, 0, _pack(c2[i].astype(np.int32)), _pack(t2[i].astype(np.int32))))
         out.append(("sum", "", r, 0, cu[is_hot].tobytes(), follow[is_hot].tobytes()))
-        return pa.Table.from_arrays([pa.array([x[k] for x in out], ty) for k, ty in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "seg", "r", "n", "a", "b"])
+        return _table(out, _ANSWER)
+
+    return run
 
-    answered = keep(asked.where("kind = 'part'").select("seg", "r", "a", "b", "c").groupBy("r").applyInArrow(count_bigrams, answer + ", b binary"), "follow")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["ctx", "n"])
+_ANSWER = [("kind", _STR), ("seg", _STR), ("r", _INT), ("n", _LONG), ("a", _BIN), ("b", _BIN)]
+_ANSWER_DDL = "kind string, seg string, r int, n long, a binary, b binary"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["ctx", "n"])
+
+
+def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STATE, n_ranges: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Score ``docs`` (doc_id, text, held boolean): learn from those not held, score all.
 
-    # at most half as many hot contexts as ranges
-    follow = answered.where("kind = 'sum'").select("a", "b").mapInArrow(spread, "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n")).collect()
+    ``n_ranges`` defaults to spark.sql.shuffle.partitions, so it follows the size of the job.
+    """
+    spark = docs.sparkSession
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    segs = C.cut(segments(docs.select("doc_id", "text", "held"), segment_bytes), "segments", "none")
+    n_train = int(segs.agg(F.sum("n")).first()[0] or 0)
+
+    parts = segs.select("seg", "held", "ids", "words", "sizes").mapInArrow(_word_parts(ranges), "seg string, r int, a binary, b binary")
+    counted = C.cut(parts.groupBy("r").applyInArrow(_count_words(max(2, 2 * n_train // ranges)), _ANSWER_DDL), "counts", "none", "kind")
+    sums = counted.where("kind = 'sum'").select("n", "a").collect()  # a row a range; at most ranges / 2 words are hot
+    vocabulary = sum(x.n for x in sums)
+    hot = spark.sparkContext.broadcast(np.unique(np.concatenate([np.frombuffer(x.a, np.uint64) for x in sums] + [np.array([_START])])))
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Step 3: word counts come in, the segment's bigrams go out."""
+        fields = [("seg", _STR), ("r", _INT), ("a", _BIN), ("b", _BIN), ("c", _BIN)]
+        rows = []
+        for one in left.to_pylist():
+            ids, u, size = _unpack_ids(one["ids"]), _unpack(one["words"], np.uint64), _unpack(one["sizes"], np.int32)
+            c1 = _answers(right, "a", np.int64, _word_order(u, ranges)[0])
+            x = _bigrams(ids, u, size, c1, min_state, hot.value, ranges)
+            train = np.repeat(~np.asarray(one["held"], bool), size)[x["place"]]
+            n = np.bincount(x["inv"], weights=train, minlength=len(x["ctx"])).astype(np.int32)
+            for r, b, e in _groups(x["r"]):
+                o = x["order"][b:e]
+                rows.append((one["seg"], r, *_pack_asked(x["ctx"][o], x["word"][o]), _pack(n[o])))
+        return _table(rows, fields)
+
+    words = counted.where("kind = 'answer'").select("seg", "r", "a")
+    asked = segs.select("seg", "held", "ids", "words", "sizes").groupBy("seg").cogroup(words.groupBy("seg")).applyInArrow(ask, "seg string, r int, a binary, b binary, c binary")
+    answered = C.cut(asked.groupBy("r").applyInArrow(_count_bigrams(hot), _ANSWER_DDL), "followers", "none", "kind")
+
+    follow = answered.where("kind = 'sum'").select("a", "b").mapInArrow(_spread, "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n")).collect()
     hot_ids = np.array([x.ctx for x in follow], np.int64).view(np.uint64)
     by = np.argsort(hot_ids)
     hot_follow = spark.sparkContext.broadcast((hot_ids[by], np.array([x.n for x in follow], np.int64)[by]))
-    n_docs = asked.where("kind = 'seg'").select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
+    n_docs = segs.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     total = n_train + vocabulary + 1
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 5: the segment's part of the automaton, and one pass over its texts."""
-        kinds = left["kind"].to_pylist()
-        s = kinds.index("seg")
-        ids, u, size = (_unpack(left[k][s].as_py(), t) for k, t in (("a", np.int32), ("b", np.uint64), ("c", np.int32)))
-        c1 = _unpack(left["a"][kinds.index("c1")].as_py(), np.int64)
-        prev, place, g, ctx, inv = _bigrams(ids, u, size, c1, min_state)
+        ids, u, size = _unpack_ids(left["ids"][0].as_py()), _unpack(left["words"][0].as_py(), np.uint64), _unpack(left["sizes"][0].as_py(), np.int32)
+        two = np.asarray(right["order"].to_pylist()) == 2
+        c1 = _answers(right.filter(pa.array(~two)), "a", np.int64, _word_order(u, ranges)[0])
+        x = _bigrams(ids, u, size, c1, min_state, hot.value, ranges)
+        right = right.filter(pa.array(two))
+        inv, place, state = x["inv"], x["place"], x["state"]
+        c2 = _answers(right, "a", np.int32, x["order"]).astype(float)
+        t2 = _answers(right, "b", np.int32, x["order"]).astype(float)
         hot_u, hot_n = hot_follow.value
-        is_hot = np.isin(ctx, shared.value)
-        order, _ = _by_range((np.where(is_hot, g, ctx) % C._U(ranges)).astype(np.int64))
-        c2 = _answers(right, "a", np.int32, order).astype(float)
-        t2 = _answers(right, "b", np.int32, order).astype(float)
-        if is_hot.any() and len(hot_u):
-            k = np.minimum(np.searchsorted(hot_u, ctx[is_hot]), len(hot_u) - 1)
-            t2[is_hot] = np.where(hot_u[k] == ctx[is_hot], hot_n[k], 0)
-        root = np.log10((c1 + 1) / total)  # the root's arcs, and its share for unseen words
-        logp = root[ids]
-        state = prev[place]
+        if x["hot"].any() and len(hot_u):
+            own = x["ctx"][x["hot"]]
+            k = np.minimum(np.searchsorted(hot_u, own), len(hot_u) - 1)
+            t2[x["hot"]] = np.where(hot_u[k] == own, hot_n[k], 0)
+        logp = np.log10((c1 + 1) / total)[ids]  # the root's arcs, and its share for unseen words
         seen = np.where(state < 0, n_docs, c1[np.maximum(state, 0)]).astype(float)
         live = (seen > 0) & (t2[inv] > 0)
         fail = discount * t2[inv] / np.where(live, seen, 1)  # weight of the state's failure arc
@@ -259,11 +303,11 @@ def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STAT
         path = logp.copy()
         path[place[live]] = np.log10(p[live])
         begin = np.cumsum(size) - size
-        add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
+        add = lambda v: np.add.reduceat(v, begin) if len(begin) else np.zeros(0)
         return pa.Table.from_arrays(
             [
-                left["doc_ids"].combine_chunks()[s : s + 1].flatten(),
-                left["held"].combine_chunks()[s : s + 1].flatten(),
+                left["doc_ids"].combine_chunks().flatten(),
+                left["held"].combine_chunks().flatten(),
                 pa.array(size, pa.int64()),
                 pa.array(add((c1 > 0)[ids].astype(np.int64)), pa.int64()),
                 pa.array(np.full(len(size), n_train), pa.int64()),
@@ -274,8 +318,8 @@ def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STAT
         )
 
     out = f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    left = asked.where("kind IN ('seg', 'c1')").select("kind", "seg", "doc_ids", "held", "a", "b", "c")
-    return left.groupBy("seg").cogroup(answered.where("kind = 'answer'").select("seg", "r", "a", "b").groupBy("seg")).applyInArrow(traverse, out)
+    both = words.select("seg", F.lit(1).alias("order"), "r", "a", F.lit(None).cast("binary").alias("b")).unionAll(answered.where("kind = 'answer'").select("seg", F.lit(2), "r", "a", "b"))
+    return segs.groupBy("seg").cogroup(both.groupBy("seg")).applyInArrow(traverse, out)
 
 
 def query(docs: DataFrame) -> DataFrame:
