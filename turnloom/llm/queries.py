@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, leaks, lm, rules, tokens
+from . import extract, gam, leaks, lm, mixing, neardup, rules, suffixes, tokens, toxicity
 from .common import table
 
 
@@ -14,10 +14,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.query(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.query(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.query(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.query(table(spark, sf_dir, "documents"))
 
@@ -26,11 +42,19 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op5_benchmark_decontamination, op7_lm_scoring, op8_html_extraction, op10_token_counts)
-}
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_quality_classifier, op3_minhash_near_dedup, op4_suffix_array_dedup, op5_benchmark_decontamination,
+        op6_toxicity, op7_lm_scoring, op8_html_extraction, op9_mixing, op10_token_counts,
+    )
+}
 ORACLES: dict[str, str] = {"op1_quality_rules": rules.ORACLE, "op5_benchmark_decontamination": leaks.ORACLE}

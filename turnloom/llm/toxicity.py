@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import features as X
 
-SAMPLE = 8_000
+SAMPLE = 16_000
 BITS = 20
 
 
@@ -43,9 +43,14 @@ class SparseModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, epochs: int = 4) -> SparseModel:
-    """FTRL-proximal over binary features; the bias (last coordinate) has no L1."""
+def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.05, epochs: int = 5, min_count: int = 3) -> SparseModel:
+    """FTRL-proximal over binary features; the bias (last coordinate) has no L1. Features of fewer
+    than ``min_count`` rows are left out: the L1 part would hold them at zero."""
     size = 1 << bits
+    seen = np.zeros(size, np.int32)
+    for ids in rows:
+        seen[ids] += 1
+    rows = [ids[seen[ids] >= min_count] for ids in rows]
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     reg = np.full(size + 1, l1)
     reg[size] = 0.0
@@ -87,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn=No
     if not len(rows):
         return SparseModel(0.0, np.zeros(0, np.int32), np.zeros(0))
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
-    return ftrl([np.asarray(x, np.int64) for x in rows["ids"]], rows["y"].to_numpy(), bits, **how)
+    return ftrl([np.asarray(x) for x in rows["ids"]], rows["y"].to_numpy(), bits, **how)
 
 
 def score(docs: DataFrame, model: SparseModel, bits: int = BITS) -> DataFrame:
