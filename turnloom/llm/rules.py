@@ -131,6 +131,15 @@ def apply_policy(entries: DataFrame, policy: Policy = CURRENT, rules: Iterable[R
     )
 
 
+def passing(df: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that the policy keeps, with their own columns only.
+
+    The row number keeps the optimiser from moving the filter below the measurements, where each
+    would be spelt out again inside the next."""
+    judged = apply_policy(ledger(df.withColumn("__text", F.col(text)), "__text"), policy)
+    return judged.withColumn("__n", F.monotonically_increasing_id()).where("kept AND __n >= 0").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def ablations(entries: DataFrame, policies: Iterable[Policy] = POLICIES, rules: Iterable[Rule] = RULES) -> DataFrame:
     """Per policy and rule: documents that fail it, that it alone rejects, and that would be kept
     without it. The ledger shrinks to its distinct masks first (2 to the number of rules at most)."""
