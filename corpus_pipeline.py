@@ -15,8 +15,7 @@ from turnloom.llm import common, leaks, mixing, neardup, rules, suffixes
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that no rule of the current policy rejects."""
-    judged = rules.apply_policy(rules.ledger(docs.withColumn("__text", docs["text"]), "__text"))
-    return judged.where("kept").select(*docs.columns)
+    return rules.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
