@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +94,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, may_learn
     rows = labels.where(may_learn).select(F.col("doc_id").alias("__id"), label.alias("y")).where("y IS NOT NULL AND __id IS NOT NULL")
     rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+
+
+def collect_features(sample: DataFrame, features: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list]:
+    """Feature ids and labels of a labelled sample, ordered by doc_id and label.
+
+    The ids travel as packed bytes, one partition at a time, so the driver holds them once: the
+    sample's rows bound it, and no more than a partition of them is ever in the JVM.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, offs in C.text_parts(batch, "text"):
+                ids, first = features(buf, offs)
+                ids = ids.astype(np.int32)
+                packed = pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed, batch.column(2).slice(i, j - i)], ["doc_id", "ids", "y"])
+
+    kinds = sample.schema
+    table = C.cut(sample.mapInArrow(run, f"doc_id {kinds['doc_id'].dataType.simpleString()}, ids binary, y {kinds['y'].dataType.simpleString()}"), "sample")
+    rows = sorted(((r[0], r[2], r[1]) for r in table.toLocalIterator()), key=lambda r: r[:2])
+    return [np.frombuffer(r[2], np.int32) for r in rows], [r[1] for r in rows]

@@ -65,17 +65,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], limit: i
     """``labelled``: doc_id, domain. At most ``limit`` rows are learned from."""
     sample = X.labelled_sample(docs, labelled, F.col("domain"), F.lit(True), limit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, buf, offs in C.text_parts(batch, "text"):
-                ids, first, _ = _ids(buf, offs, bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32))), batch.column(2).slice(i, j - i)], ["doc_id", "ids", "y"])
-
-    rows = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, y string").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    if not len(rows):
+    rows, y = X.collect_features(sample, lambda buf, offs: _ids(buf, offs, bits)[:2])
+    if not rows:
         return DomainModel(names, [])
-    ids = [np.asarray(x, np.int64) for x in rows["ids"]]
-    return DomainModel(names, [ftrl(ids, (rows["y"] == k).to_numpy(float), bits, epochs=3) for k in names])
+    return DomainModel(names, [ftrl(rows, np.array([d == k for d in y], float), bits, epochs=3) for k in names])
 
 
 def posteriors(docs: DataFrame, model: DomainModel, bits: int = BITS) -> DataFrame:

@@ -45,12 +45,14 @@ class SparseModel:
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.05, epochs: int = 5, min_count: int = 3) -> SparseModel:
     """FTRL-proximal over binary features; the bias (last coordinate) has no L1. Features of fewer
-    than ``min_count`` rows are left out: the L1 part would hold them at zero."""
+    than ``min_count`` rows are left out (of the caller's ``rows`` too, which are not held twice):
+    the L1 part would hold them at zero."""
     size = 1 << bits
     seen = np.zeros(size, np.int32)
     for ids in rows:
         seen[ids] += 1
-    rows = [ids[seen[ids] >= min_count] for ids in rows]
+    for k, ids in enumerate(rows):
+        rows[k] = ids[seen[ids] >= min_count]
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     reg = np.full(size + 1, l1)
     reg[size] = 0.0
@@ -75,24 +77,12 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float =
     return SparseModel(float(w[size]), keep.astype(np.int32), w[keep])
 
 
-def _grams(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, buf, offs in C.text_parts(batch, "text"):
-                ids, first = X.gram_ids(buf, offs, bits)
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, batch.column(2).slice(i, j - i)], ["doc_id", "ids", "y"])
-
-    return run
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn=None, limit: int = SAMPLE, bits: int = BITS, **how) -> SparseModel:
     sample = X.labelled_sample(docs, labels, F.col(label).cast("double"), F.lit(True) if may_learn is None else may_learn, limit)
-    rows = sample.mapInArrow(_grams(bits), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, y double").toPandas()
-    if not len(rows):
+    rows, y = X.collect_features(sample, lambda buf, offs: X.gram_ids(buf, offs, bits))
+    if not rows:
         return SparseModel(0.0, np.zeros(0, np.int32), np.zeros(0))
-    rows = rows.sort_values(["doc_id", "y"], kind="stable")
-    return ftrl([np.asarray(x) for x in rows["ids"]], rows["y"].to_numpy(), bits, **how)
+    return ftrl(rows, np.array(y), bits, **how)
 
 
 def score(docs: DataFrame, model: SparseModel, bits: int = BITS) -> DataFrame:
