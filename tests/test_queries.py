@@ -38,3 +38,13 @@ def test_empty_state_packs_nothing():
     from turnloom.config import DEFAULT
 
     assert ConversationState().pack(0, DEFAULT)["method"] == "empty"
+
+
+def test_deferred_items_follow_heading_levels(spark):
+    got = {tuple(r) for r in Q.QUERIES["deferred_items"](spark, DATA).collect()}
+    assert got == {(1, 2, 0, "move db"), (1, 2, 1, "rename x"), (1, 3, 0, "x1"), (1, 3, 1, "x2"), (1, 3, 2, "deep")}
+
+
+def test_closures_meet_the_newest_open_item(spark):
+    got = {(r.done, r.opened) for r in Q.QUERIES["item_closures"](spark, DATA).collect()}
+    assert {("write docs", "write docs"), ("tests", "tests"), ("ship it", "ship it")} <= got

@@ -37,3 +37,18 @@ EMAIL_RE = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 KEY_RE = rf"\b(?:{any_of(KEY_PREFIXES)})[A-Za-z0-9_\-\.]{{8,}}\b"
 CREDENTIAL_RE = r"(?i)\b(?:bearer|api[_-]?key|token)\s*[:=]\s*\S+"
 HOME_RE = r"/(?:Users|home)/[^/\s]+"
+
+# Fixed values (must be equal for equal results); matched without regard to case, ^ and $ at line ends.
+QUOTED_DONE_RE = r"(?:mark(?:ed)?|completed?)\s+[\"'][^\"']+[\"']|[\"'][^\"']+[\"']\s+(?:done|complete)|completed[:\s]+[\"'][^\"']+[\"']"
+DONE_VERB_RE = r"\b(?:drafted|implemented|verified|completed|marked)\s+[\"']?([^\"'\n,]{2,80})[\"']?"
+DONE_LINE_RE = r"^\s*(?:[-*]\s*)?(?:completed|done|fixed|resolved|validation)\s*:\s*(.+)$"
+OPEN_LINE_RE = r"^\s*(?:[-*]\s*)?(?:open item|todo|remaining|follow-up|next)\s*:\s*(.+)$"
+TODO_LINE_RE = r"\bTODO:\s*(.+)$"
+NEXT_LINE_RE = r"^\s*next:\s*(.+)$"
+UNCHECKED_RE = r"^\s*[-*]\s+\[ \]\s+(.+)$"
+CHECKED_RE = r"^\s*[-*]\s+\[[xX]\]\s+(.+)$"
+BULLET_RE = r"^\s*[-*]\s+(?:\[(?: |x|X)\]\s+)?(.+)$"
+OUTCOME_RE = r"\b(?:\d+\s+(?:entries?\s+standardized|broken\s+links?)|0\s+broken\s+links?|Ch\d+\s+[A-Z]{1,4}-\d+\s+link\s+fixed|validation\s+passed|fixed\s+[\w./#-]+)\b"
+DEFERRED_HEADING_RE = r"\b(left unresolved|deferred|out of scope|unresolved)\b"
+ITEM_EDGE = r"[-*\[\]() \t`\"'.]"
+# End of fixed values.

@@ -13,7 +13,7 @@ from .config import DEFAULT
 from .functions import lexicon as L
 from .functions import text as T
 from .functions import vectors as V
-from .operators import facts, fold, views
+from .operators import facts, fold, lifecycle, views
 from .sources import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,3 +277,106 @@ def append_then_pool(spark, d):
 @query()
 def pack_forward(spark, d):
     return fold.conversation_packs(_turns(spark, d))
+
+
+LIFE = (
+    (1, 0, "user", "TODO: write docs\n- [ ] ship it\nnext: call Bob\nremaining: tests\n- [ ] Ship It"),
+    (1, 1, "assistant", 'Drafted "write docs", rest later.\nfixed: tests\nvalidation passed; 3 broken links; fixed src/a.py now'),
+    (1, 2, "user", "## Deferred\n- move db\n### Sub\n* rename `x`\n## Other\n- not this"),
+    (1, 3, "assistant", "# Out of scope\n- x1\ntext\n- [x] x2\nmark 'ship it'\n## Left unresolved\n- deep\n## Again\n- gone"),
+    (2, 0, "user", "nothing here"),
+    (2, 1, "assistant", "call Bob done"),
+    (3, 0, "user", ""),
+)
+_LIFE_SQL = "v(conv_id, turn, role, text) AS (VALUES " + ", ".join(f"({c}::BIGINT, {t}::BIGINT, '{r}', '" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for c, t, r, x in LIFE) + ")"
+
+
+def _life(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(*m,) for m in LIFE], "conv_id long, turn long, role string, text string")
+
+
+def _items_sql(families: tuple[lifecycle.Family, ...], limit: int | None, width: int, name: str) -> str:
+    def one(family: lifecycle.Family) -> str:
+        label, pattern, group, edge, inner = (x.replace("'", "''") if isinstance(x, str) else x for x in family)
+        x = f"regexp_extract(x, '{inner}', 1)" if inner else "x"
+        return f"list_transform(regexp_extract_all(text, '(?im){pattern}', {group}), lambda x: '{label}' || chr(1) || regexp_replace({x}, '^{edge}+|{edge}+$', '', 'g'))"
+
+    every = f"flatten([{', '.join(one(f) for f in families)}])"
+    return f"""{name}_a AS (SELECT conv_id, turn, unnest({every}) AS x, unnest(range(0, len({every}))) AS pos FROM v),
+{name}_b AS (SELECT conv_id, turn, pos, string_split(x, chr(1))[1] AS family, string_split(x, chr(1))[2] AS raw FROM {name}_a),
+{name}_c AS (SELECT conv_id, turn, pos, family, CASE WHEN length(raw) <= {width} THEN raw ELSE substring(raw, 1, {width - 3}) || '...' END AS item FROM {name}_b WHERE length(raw) >= 2),
+{name}_d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(item) ORDER BY pos) AS n FROM {name}_c),
+{name}_e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM {name}_d WHERE n = 1),
+{name} AS (SELECT conv_id, turn, pos::BIGINT AS pos, family, item FROM {name}_e WHERE k <= {limit or 10**9})"""
+
+
+_OPEN_SQL, _DONE_SQL = _items_sql(lifecycle.OPEN, 16, 80, "o"), _items_sql(lifecycle.DONE, None, 80, "d")
+
+
+def _with_pos(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_LIFE_SQL}, {_OPEN_SQL} SELECT * FROM o")
+def open_items(spark, d):
+    return _with_pos(lifecycle.open_items(_life(spark)))
+
+
+@query(f"WITH {_LIFE_SQL}, {_DONE_SQL} SELECT * FROM d")
+def done_items(spark, d):
+    return _with_pos(lifecycle.done_items(_life(spark)))
+
+
+@query(f"WITH {_LIFE_SQL}, {_items_sql(lifecycle.OUTCOME, 8, 120, 'r')} SELECT * FROM r")
+def outcome_items(spark, d):
+    return _with_pos(lifecycle.outcome_items(_life(spark)))
+
+
+@query()
+def deferred_items(spark, d):
+    return _with_pos(lifecycle.deferred_items(_life(spark)))
+
+
+@query(f"""WITH {_LIFE_SQL}, {_OPEN_SQL}, {_DONE_SQL},
+m AS (SELECT d.conv_id, d.turn, d.item AS done, o.turn AS open_turn, o.item AS opened, row_number() OVER (PARTITION BY d.conv_id, d.turn, d.item ORDER BY o.turn DESC, o.pos DESC) AS n
+  FROM d JOIN o ON d.conv_id = o.conv_id AND o.turn < d.turn AND (contains(lower(d.item), lower(o.item)) OR contains(lower(o.item), lower(d.item))))
+SELECT conv_id, turn, done, open_turn, opened FROM m WHERE n = 1""")
+def item_closures(spark, d):
+    return lifecycle.closures(_life(spark))
+
+
+@query(ORACLES["headings"] + " AND level <= 2")
+def headings_h1_h2(spark, d):
+    return lifecycle.top_headings(_marked(spark)).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "heading")
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM conversations),
+s AS (SELECT conv_id, turn, pos, {_STRIP.format("line")} AS line FROM l),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(line) ORDER BY turn, pos) AS n FROM s WHERE line <> '')
+SELECT conv_id, turn, pos::BIGINT AS pos, md5(line) AS h FROM u WHERE n = 1""")
+def retained_lines(spark, d):
+    return lifecycle.retained_lines(_turns(spark, d)).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.md5(F.col("line").cast("binary")).alias("h"))
+
+
+@query(f"""WITH {_SCORED}, g AS (SELECT *, max(score) OVER (PARTITION BY conv_id, turn) AS best FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, pos) AS rank FROM g WHERE score > 0 OR best <= 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, rank DESC) AS age FROM r WHERE rank <= 3)
+SELECT conv_id, turn, rank::BIGINT AS rank, age::BIGINT AS age, md5(sentence) AS h FROM a WHERE age <= 48""")
+def prune_newest_facts(spark, d):
+    rows = lifecycle.newest_facts(_turns(spark, d))
+    return rows.select("conv_id", "turn", F.col("rank").cast("long").alias("rank"), F.col("age").cast("long").alias("age"), F.md5(F.col("sentence").cast("binary")).alias("h"))
+
+
+@query("SELECT conv_id, max(turn) AS turn, md5(arg_max(text, turn)) AS h FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def last_user_query(spark, d):
+    return lifecycle.last_query(_turns(spark, d)).select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("""WITH a AS (SELECT n_nationkey::BIGINT AS i, n_name AS token FROM nation), b AS (SELECT r_regionkey::BIGINT AS j, r_name AS token FROM region),
+m AS (SELECT i, j, a.token = b.token AS same, bool_or(a.token = b.token) OVER (PARTITION BY i) AS hit, count(*) OVER (PARTITION BY i) AS n FROM a JOIN b ON substring(a.token, 1, 2) = substring(b.token, 1, 2))
+SELECT i, j, round(CASE WHEN hit THEN 1.0 ELSE 1.0 / n END, 9)::DOUBLE AS mass FROM m WHERE same OR NOT hit
+UNION ALL SELECT i, i % (SELECT count(*) FROM b), 1.0 FROM a WHERE i NOT IN (SELECT i FROM m)""")
+def vocab_alignment(spark, d):
+    a = _table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS i", "n_name AS token")
+    b = _table(spark, d, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS j", "r_name AS token")
+    return lifecycle.align_vocabularies(a, b).select("i", "j", F.round("mass", 9).alias("mass"))
