@@ -116,6 +116,35 @@ def test_classes_equal_brute_force(spark, docs, none):
     assert not neardup.query(none).take(1)
 
 
+@pytest.mark.parametrize("how", [{}, {"small": 3, "block": 40}, {"small": 1000}])
+def test_classes_of_a_star_of_edited_copies(spark, how):
+    """Copies of a base text, edited at random: most pairs of them are no links, but base and copy are."""
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(200)]
+    texts = [base]
+    for _ in range(400):
+        w = list(base)
+        for at in rng.choice(200, 4, replace=False):
+            w[at] = f"e{rng.integers(1 << 30)}"
+        texts.append(w)
+    sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if len(s & sets[j]) / len(s | sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.classes(df, **how).collect()}
+    assert sum(r == 0 for r in map(find, root)) > 300 and got == {i: find(i) for i in range(len(root))}
+
+
 def test_leaks_of_short_items_and_blocks(spark, docs):
     bench = spark.createDataFrame([(1, "ONE two"), (2, None), (3, "w3 x21 w4 x28 w5 x35 w6 x42 w7 x49 w8"), (3, "!!")], "item_id long, text string")
     whole = leaks.query(docs, bench).orderBy("doc_id").collect()

@@ -6,10 +6,11 @@ A coordinate keeps its dart of the earliest rank. Two texts agree on a coordinat
 probability of their weighted Jaccard similarity, and a text throws about t ln t + 2t darts in all,
 however many elements it has.
 
-Identical texts are one text with copies. Texts that agree on a whole band are candidates: each
-is checked against the band's centre (texts that fail there look for a new centre among those that
-failed too, until none is left), by the exact Jaccard similarity of their shingle sets. No group
-is gathered and no group's pairs are spelt out; classes are the connected components of the links.
+Identical texts are one text with copies. Texts that agree on a whole band are candidates. Each is
+checked against the band's centre, by the exact Jaccard similarity of their shingle sets; then every
+pair of a band that these links leave in different components is checked too: pair by pair in small
+bands, in large ones block by block (a task holds two blocks of bounded size and names a forest of
+their links). Classes are the connected components of the links.
 
 Words: runs of anything but blanks, A-Z lower-cased. A text of fewer words than a shingle is one
 shingle. Defined cases: null is the empty text; texts without words are duplicates only of texts
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 from .components import components
@@ -33,7 +35,9 @@ THRESHOLD = 0.8
 COORDINATES = 130
 ROWS = 5  # of a band: 1 - (1 - 0.8**5)**26 > 0.99996 of the pairs at the threshold share a band
 FINEST = 1  # the lowest rank cell is 2**-FINEST wide
-CENTRES = (1, 8, 64)  # of a band, by round; the last holds for all further rounds
+SMALL = 16  # texts of a band up to which its pairs are rows
+BLOCK = 1024  # texts of a large band that are compared as one matrix, or as many as
+BLOCK_BYTES = 4 << 20  # of shingles
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -191,7 +195,73 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
 
-def links(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, t: int = COORDINATES, rows: int = ROWS, part_bytes: int = 1 << 22) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _forest(a: list, b: list) -> list[int]:
+    """The places of those pairs that join parts not joined before."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return out
+
+
+def _block_links(threshold: float, kind: pa.DataType):
+    """Links between a block's texts ``x`` and its texts ``y`` (or within ``x``, if there are no
+    ``y``) of different roots, as far as they join roots not joined before."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, root, y = t["node"].to_pylist(), t["root"].to_pylist(), np.asarray(t["y"].to_pylist(), bool)
+        sets = [_set_of(r) for r in t["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, word, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        own, word = np.repeat(np.arange(len(sets)), size)[n[word] > 1], word[n[word] > 1]
+        by = np.argsort(word, kind="stable")
+        own, word = own[by], np.unique(word[by], return_inverse=True)[1]
+        rows, cols = np.flatnonzero(~y), np.flatnonzero(y) if y.any() else np.flatnonzero(~y)
+        both = np.zeros((len(rows), len(cols)), np.float32)
+        step = 4096
+        for lo in range(0, int(word[-1]) + 1 if len(word) else 0, step):
+            i, j = np.searchsorted(word, [lo, lo + step])
+            m = np.zeros((len(sets), step), np.float32)
+            m[own[i:j], word[i:j] - lo] = 1
+            both += m[rows] @ m[cols].T
+        sim = both.astype(float) / np.maximum(size[rows][:, None] + size[cols][None] - both, 1)
+        label = np.unique(np.array(root), return_inverse=True)[1]
+        r, c = np.nonzero((sim >= threshold) & (label[rows][:, None] != label[cols][None]))
+        keep = _forest(label[rows[r]].tolist(), label[cols[c]].tolist())
+        found = [(*sorted((node[rows[r[k]]], node[cols[c[k]]])), float(sim[r[k], c[k]])) for k in keep]
+        return pa.table({n: pa.array([x[k] for x in found], t) for k, (n, t) in enumerate((("a", kind), ("b", kind), ("sim", pa.float64())))})
+
+    return run
+
+
+def _blocks(members: DataFrame, sets: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(band, i, j, y, node, root, shingles): the texts of each pair of blocks to compare. Texts of a
+    band's commonest root are all in one component, so their blocks meet only the others' blocks."""
+    some = members.join(large, "band").withColumn("major", F.col("root") == F.col("top"))
+    some = some.join(sets, "node").select("band", "node", "root", "major", "shingles")
+    tally = [F.greatest(F.ceil(F.count(F.when(w, 1)) / block), F.ceil(F.coalesce(F.sum(F.when(w, F.length("shingles"))), F.lit(0)) / BLOCK_BYTES)).cast("int").alias(n) for w, n in ((~F.col("major"), "p"), (F.col("major"), "q"))]
+    some = some.join(some.groupBy("band").agg(*tally), "band")
+    own = F.pmod(F.xxhash64("node", "band"), F.when(F.col("major"), F.col("q")).otherwise(F.col("p"))).cast("int")
+    # blocks of the others are 0 .. p - 1, those of the commonest root p .. p + q - 1
+    some = some.withColumn("own", F.when(F.col("major"), F.col("p") + own).otherwise(own))
+    other = F.when(F.col("major"), F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
+    some = some.withColumn("other", F.explode(other))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    return some.select("band", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).alias("y"), "node", "root", "shingles")
+
+
+def links(
+    docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, t: int = COORDINATES, rows: int = ROWS, part_bytes: int = 1 << 22, small: int = SMALL, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, key; texts: key, node, copies; links: a, b, sim). A node is the smallest
     doc_id of a text; links join different texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -202,40 +272,41 @@ def links(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, t: in
     texts = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     texts = C.cut(texts, "texts")
 
-    waiting = C.cut(texts.select(F.col("node"), F.explode("bands").alias("band")), "bands")
-    sets = found = tried = None
-    rounds = 0
-    while True:
-        n = CENTRES[min(rounds, len(CENTRES) - 1)]
-        rounds += 1
-        # a centre is the first text of its band in one of n orders; in the first round the order goes
-        # by the band too, so that a text meets several centres over its bands
-        salt = F.pmod("band", F.lit(4)) if n == 1 else F.lit(0)
-        firsts = [F.min(F.struct(F.xxhash64("node", salt, F.lit(rounds * 100 + i)).alias("h"), F.col("node").alias("n"))).getField("n").alias(f"c{i}") for i in range(n)]
-        centres = waiting.groupBy("band").agg(F.count(F.lit(1)).alias("m"), *firsts).where("m > 1")
-        centres = centres.select("band", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(n)]))).alias("centre"))
-        met = C.cut(waiting.join(centres, "band").where("node <> centre").select("band", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node"), "met")
-        pairs = met.select("a", "b").distinct()
-        pairs = C.cut(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if sets is None:  # every later candidate has met a centre in the first round
-            need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-            own = texts.join(need, "node", "left_semi").select(F.col("node"), F.col("key").alias("k"))
-            full = keyed.join(own, (keyed["doc_id"] == own["node"]) & (keyed["key"] == own["k"])).select("doc_id", "text")
-            sets = C.cut(full.mapInArrow(_sets(k, part_bytes), f"node {kind}, shingles binary").dropDuplicates(["node"]), "sets", "none")
+    bands = C.cut(texts.select(F.col("node"), F.explode("bands").alias("band")), "bands")
+    # a centre is the first text of its band in an order that goes by the band too, so that a text
+    # meets several centres over its bands
+    first = F.min(F.struct(F.xxhash64("node", F.pmod("band", F.lit(4))).alias("h"), F.col("node").alias("n"))).getField("n")
+    centres = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), first.alias("centre")).where("m > 1").select("band", "centre")
+    met = C.cut(bands.join(centres, "band").where("node <> centre").select("band", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node"), "met")
+    pairs = C.cut(met.select("a", "b").distinct(), "pairs")
+    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    own = texts.join(need, "node", "left_semi").select(F.col("node"), F.col("key").alias("k"))
+    full = keyed.join(own, (keyed["doc_id"] == own["node"]) & (keyed["key"] == own["k"])).select("doc_id", "text")
+    sets = C.cut(full.mapInArrow(_sets(k, part_bytes), f"node {kind}, shingles binary").dropDuplicates(["node"]), "sets", "none")
+
+    def check(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        sims = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_similar, f"a {kind}, b {kind}, sim double")
-        sims = C.cut(sims, "similar")
-        tried = sims if tried is None else tried.unionAll(sims)
-        good = sims.where(F.col("sim") >= threshold)
-        found = good if found is None else found.unionAll(good)
-        # who failed at all centres of a band waits in it for others; the centres themselves are done
-        judged = met.join(tried, ["a", "b"]).groupBy("band", "node").agg(F.max("sim").alias("sim")).where(F.col("sim") < threshold)
-        done = met.select("band", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
-        waiting = C.cut(judged.select("node", "band").join(done, ["band", "node"], "left_anti").select("node", "band"), "waiting")
-        if not waiting.groupBy("band").count().where("count > 1").take(1):
-            break
-    return signed.select("doc_id", "key"), texts.select("key", "node", "copies"), found
+        return C.cut(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_similar, f"a {kind}, b {kind}, sim double"), "similar")
+
+    tried = check(pairs)
+    found = tried.where(F.col("sim") >= threshold)
+
+    # the centres are done; of the others of a band, those pairs are open that have different roots
+    roots = components(found.select("a", "b"))
+    members = C.cut(met.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "members")
+    counts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = counts.groupBy("band").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("n", "root")).getField("root").alias("top")).where("r > 1")
+    open_ = C.cut(open_.select("band", "m", "top"), "open")
+    few = members.join(open_.where(F.col("m") <= small).select("band"), "band")
+    one, two = (few.select("band", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    pairs = one.join(two, "band").where("a < b AND ra <> rb").select("a", "b").distinct()
+    pairs = C.cut(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    found = found.unionAll(check(pairs).where(F.col("sim") >= threshold))
+    blocks = _blocks(members, sets, open_.where(F.col("m") > small).select("band", "top"), block)
+    run = _block_links(threshold, to_arrow_type(docs.schema["doc_id"].dataType))
+    linked = C.cut(blocks.groupBy("band", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, sim double"), "linked")
+    return signed.select("doc_id", "key"), texts.select("key", "node", "copies"), found.unionAll(linked.dropDuplicates(["a", "b"]))
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
