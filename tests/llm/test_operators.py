@@ -182,6 +182,15 @@ def test_lm_scores_equal_the_formula(spark):
         assert abs(got[i].base_score - base) < 1e-6 and abs(got[i].score - path) < 1e-6
 
 
+def test_lm_scores_words_after_a_rare_context(spark):
+    """``rare`` is seen once in training; the word after it scores by that context, not as a plain unigram."""
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
+    free = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 != 2)
+    got = {r.doc_id: r for r in lm.query(spark.createDataFrame([(held, "rare name"), (free, "rare name")], "doc_id long, text string")).collect()}
+    p1 = 2 / (3 + 3 + 1)  # rare, name and the end, once each
+    assert abs(got[held].score - 3 * np.log10((1 - 0.75) / 1 + 0.75 * p1)) < 1e-6
+
+
 def test_token_counts_equal_the_library():
     c = tokens.TokenCounter(tokens.model_path(), huge=200, chunk=100, overlap=20)
     rng = np.random.default_rng(1)

@@ -2,7 +2,7 @@
 
 The model is an interpolated absolute-discount bigram over all training tokens. As an automaton:
 a root state with an arc for every word, add-one smoothed with one share for unseen words; a state
-for every context seen ``MIN_STATE`` times or more (and one for the text's start), with an arc for
+for every context seen in training, ``MIN_STATE`` times or more (and one for the text's start), with an arc for
 each word seen after it and a failure arc to the root for all others. One left-to-right traversal
 carries the state and adds up the log-probabilities of arcs and failure arcs.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DISCOUNT = 0.75
-MIN_STATE = 4
+MIN_STATE = 1
 SEGMENT_BYTES = 8 << 20
 _END = C._U(0x5D1E0F2C3B4A6978)
 _START = C._U(0x1B873593CC9E2D51)
