@@ -229,3 +229,22 @@ def test_rates_reach_the_targets(spark):
     out = mixing.rates(table, want, ridge=0.001, steps=60).toPandas()
     got = (np.stack(out.posteriors) * (out.rate * out.n_tokens).to_numpy()[:, None]).sum(0) / out.n_tokens.sum()
     assert (out.rate >= 0).all() and np.abs(got - want).max() < 0.02
+
+
+@pytest.mark.parametrize("shares, want", [([0.9, 0.05, 0.045, 0.005], [0.85, 0.03, 0.02, 0.10]), ([0.6, 0.3, 0.095, 0.005], list(mixing.TARGETS.values()))])
+@pytest.mark.parametrize("clear", [1.0, 0.9])
+def test_production_rates_reach_rare_targets(spark, shares, want, clear):
+    """With the parameters that the query uses, clear and blurred posteriors, and a domain of 0.5 % of the tokens."""
+    own = np.repeat(np.arange(4), (np.array(shares) * 2000).round().astype(int))
+    p = np.eye(4)[own] * clear + (1 - clear) / 4
+    table = spark.createDataFrame([(k, 10, list(map(float, x))) for k, x in enumerate(p)], "doc_id long, n_tokens long, posteriors array<double>")
+    want = np.array(want) * clear + (1 - clear) / 4
+    out = mixing.rates(table, want).toPandas()
+    got = (np.stack(out.posteriors) * (out.rate * out.n_tokens).to_numpy()[:, None]).sum(0) / out.n_tokens.sum()
+    assert (out.rate >= 0).all() and np.abs(got - want).max() < mixing.TOLERANCE
+
+
+def test_rates_of_a_domain_without_documents(spark):
+    table = spark.createDataFrame([(k, 10, [1.0, 0.0] if k else [0.5, 0.0]) for k in range(50)], "doc_id long, n_tokens long, posteriors array<double>")
+    out = mixing.rates(table, np.array([0.7, 0.3])).toPandas()
+    assert np.abs((np.stack(out.posteriors)[:, 0] * out.rate).mean() - 0.7) < mixing.TOLERANCE

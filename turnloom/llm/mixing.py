@@ -6,9 +6,10 @@ posteriors p_d and rates r_d, the expected tokens of domain k are S_k = sum of n
 
     1/2 |S - T|^2 / N^2  +  ridge / 2 * sum of n_d / N * (r_d - 1)^2,   r_d >= 0
 
-is minimised by projected gradient steps with momentum. A document's rate depends on the past
-residuals alone, which are K numbers a step: each step broadcasts these, replays the rates over a
-compact table and adds up K sums. No rates are stored, no lineage grows.
+is minimised by rates r_d = max(0, 1 + p_d . m) for the K numbers m with S / N - T / N + ridge * m = 0.
+These are found by Newton steps with a line search: each step broadcasts the step's candidates and
+adds up K and K x K sums over a compact table. No rates are stored, no lineage grows. The totals
+miss the targets by ridge * m, which is below TOLERANCE unless rates would have to pass about 100.
 
 Defined cases: null and empty texts have no tokens and keep rate 1; a domain without documents
 can't be matched and only its residual remains; a target of zero drives its documents' rates down.
@@ -30,9 +31,10 @@ from .toxicity import SparseModel, ftrl
 
 SAMPLE = 6_000
 BITS = 18
-RIDGE = 0.02
-STEPS = 40
-TOLERANCE = 1e-4
+RIDGE = 1e-6
+STEPS = 200  # a bound that is not met: steps end when the equation holds
+TOLERANCE = 1e-4  # of the totals, as shares of all tokens
+_LENGTHS = 0.5 ** np.arange(16)  # of a Newton step, tried all at once
 #: shares of the tokens that the query aims at, by (quality, toxic) of the labelled table
 TARGETS = {"good": 0.85, "good_toxic": 0.03, "poor": 0.10, "poor_toxic": 0.02}
 _GRID = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.99, 1.5, 3.0, 5.0, 7.0, 9.0])
@@ -86,14 +88,8 @@ def posteriors(docs: DataFrame, model: DomainModel, bits: int = BITS) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>")
 
 
-def replay(p: np.ndarray, history: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next gradient) after the steps whose residuals ``history`` holds."""
-    rate = ahead = np.ones(len(p))
-    for t, e in enumerate(history):
-        new = np.maximum(0.0, ahead - (p @ e + ridge * (ahead - 1)) / (1 + ridge))
-        ahead = np.maximum(0.0, new + t / (t + 3) * (new - rate))
-        rate = new
-    return rate, ahead
+def rates_at(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1 + p @ m)
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -101,44 +97,54 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return n, np.asarray(batch.column(2).flatten()).reshape(len(n), -1)
 
 
-def solve(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """The residuals of the steps taken; ``replay`` turns them into rates."""
-    spark = table.sparkSession
+def solve(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """The numbers m that ``rates_at`` turns into rates."""
+    spark, k = table.sparkSession, len(targets)
     total = float(table.agg(F.sum("n_tokens")).first()[0] or 0)
-    history: list[np.ndarray] = []
+    m = np.zeros(k)
     if not total:
-        return history
+        return m
+    tries = [m]
     for _ in range(steps):
-        past = spark.sparkContext.broadcast(list(history))
+        sent = spark.sparkContext.broadcast(tries)
 
-        def sums(batches: Iterator[pa.RecordBatch], past=past) -> Iterator[pa.RecordBatch]:
-            s, r = np.zeros(len(targets)), np.zeros(len(targets))
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(sent.value), 1 + k + k * k))
             for batch in batches:
                 n, p = _arrays(batch)
-                rate, ahead = replay(p, past.value, ridge)
-                s += (n * ahead) @ p
-                r += (n * rate) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(targets), dtype=np.int32)), pa.array(s), pa.array(r)], ["k", "s", "r"])
-
-        rows = table.mapInArrow(sums, "k int, s double, r double").groupBy("k").agg(F.sum("s").alias("s"), F.sum("r").alias("r")).collect()
-        got = {x.k: (x.s, x.r) for x in rows}
-        residual = np.array([got[k][0] for k in range(len(targets))]) / total - targets
-        reached = np.array([got[k][1] for k in range(len(targets))]) / total - targets
-        past.unpersist()
-        if history and np.abs(reached).max() < tolerance:
+                for row, m in zip(out, sent.value, strict=True):
+                    rate = rates_at(p, m)
+                    row[0] += n @ rate**2
+                    row[1 : k + 1] += (n * rate) @ p
+                    row[k + 1 :] += (p.T @ (p * (n * (rate > 0))[:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["k", "s"])
+
+        rows = table.mapInArrow(sums, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        sent.unpersist()
+        got = np.zeros(len(tries) * (1 + k + k * k))
+        for x in rows:
+            got[x.k] = x.s / total
+        got = got.reshape(len(tries), -1)
+        # m minimises this convex function, whose gradient is the equation
+        value = [g[0] / 2 - targets @ x + ridge / 2 * x @ x for g, x in zip(got, tries, strict=True)]
+        best = int(np.argmin(value))
+        m, g = tries[best], got[best]
+        gradient = g[1 : k + 1] - targets + ridge * m
+        if np.abs(gradient).max() < tolerance / 10:
             break
-        history.append(residual)
-    return history
+        step = np.linalg.solve(g[k + 1 :].reshape(k, k) + ridge * np.eye(k), gradient)
+        tries = [m] + [m - length * step for length in _LENGTHS]
+    return m
 
 
 def rates(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, **how) -> DataFrame:
     """``table`` (doc_id, n_tokens, posteriors) with ``rate``."""
-    past = table.sparkSession.sparkContext.broadcast(solve(table, targets, ridge, **how))
+    m = solve(table, targets, ridge, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, p = _arrays(batch)
-            rate = np.where(n > 0, replay(p, past.value, ridge)[0], 1.0)
+            rate = np.where(n > 0, rates_at(p, m), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["doc_id", "n_tokens", "posteriors", "rate"])
 
     return table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>, rate double")
