@@ -155,6 +155,19 @@ def test_leaks_of_short_items_and_blocks(spark, docs):
     assert not leaks.query(docs, bench.limit(0)).where("contaminated").take(1)
 
 
+def test_leaks_without_ids(spark, docs, duck):
+    bench = spark.createDataFrame([(None, "one two"), (7, "w3 x21 w4 x28 w5 x35 w6 x42 w7 x49"), (None, "w9 x63 w10")], "item_id long, text string")
+    got = sorted(map(tuple, leaks.query(docs, bench).collect()))
+    con = duck.cursor()
+    documents, benchmark = (x.toPandas() for x in (docs.select("doc_id", "text"), bench))
+    con.register("documents", documents)
+    con.register("benchmark", benchmark.astype({"item_id": "Int64"}))
+    assert got == sorted(con.sql(leaks.ORACLE).fetchall()) and {r[0] for r in got if r[5]} == {4, 5, 6, 7, 8}
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") < 8, F.col("doc_id")))
+    left = leaks.without_hits(unnamed, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in left.where("doc_id IS NULL OR doc_id > 1").collect()) == [(0, ROWS[8][1]), (2, ""), (3, ROWS[2][1])]
+
+
 def test_lm_scores_equal_the_formula(spark):
     rows = [(k, t) for k, (_, t, *_) in enumerate(ROWS * 3)]
     got = {r.doc_id: r for r in lm.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -11,7 +11,8 @@ Words: runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. Terms are 64
 
 Defined cases: null or empty texts have no words and are never hit; an item of fewer words than
 the window is one window, an item of none has none; repeated documents are judged row by row,
-repeated items each count; an empty benchmark hits nothing.
+repeated items each count; items without an id hit like others, are one item and not named in the
+list; ``without_hits`` goes by the text where the doc_id is null; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ def search_block(index: DataFrame, items: list[tuple[str, str | None]], window:
                             for d in np.unique(np.searchsorted(seg.first, where, "right") - 1):
                                 items_of[d].extend(q.owners[size][w])
                 mark = (mark + np.cumsum(edge[:-1])) > 0
-                items_of = [sorted(set(x)) for x in items_of]
+                items_of = [sorted(set(x), key=lambda i: (i is None, i or "")) for x in items_of]
                 yield pa.RecordBatch.from_arrays(
                     [one.column(k) for k in range(5)] + [_bin(np.packbits(mark)), pa.array([items_of], pa.list_(pa.list_(pa.string())))], one.schema.names
                 )
@@ -199,12 +200,12 @@ def search_block(index: DataFrame, items: list[tuple[str, str | None]], window:
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The index with the hits of all items; a block of items at a time."""
-    own = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text).alias("t")).where("item IS NOT NULL")
+    own = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text).alias("t"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)) + 64 * F.count(F.lit(1))).first()[0]
     n = max(1, -(-int(size) // block_bytes))
     for b in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b)
-        index = search_block(index, sorted((r.item, r.t) for r in part.collect()), window)
+        part = own if n == 1 else own.where(F.pmod(F.xxhash64(F.coalesce("item", "t")), F.lit(n)) == b)
+        index = search_block(index, sorted(((r.item, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1] or "")), window)
         if b + 1 < n:
             index = C.cut(index, "leaks")
     return index
@@ -276,9 +277,11 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0) -> DataFrame:
     """Documents whose share of hit words is at most ``max_share``; all their columns stay."""
-    found = contamination(docs.select("doc_id", "text"), benchmark)
+    # rows without an id go by their text
+    key = F.coalesce(F.concat(F.lit("i"), docs["doc_id"].cast("string")), F.concat(F.lit("t"), F.md5(C.whole_text().cast("binary"))))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark)
     bad = found.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    return docs.join(bad, key == bad["__bad"], "left_anti")
 
 
 def sha256_of(items: list[str]) -> str:
