@@ -21,10 +21,13 @@ _SCRATCH: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests in one JVM) does this pick a folder of its own.
+    Where it is unset, one JVM (tests, a laptop) gets a folder of its own; a cluster has none that
+    all of its machines see, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="turnloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -54,16 +57,37 @@ def cut(df: DataFrame, name: str, compression: str = "zstd", partition: str | No
     writer = df.write.option("compression", compression)
     with shuffle_files_go(spark):
         (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of finished queries. Call it when no result is in use any more."""
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop().rsplit("/", 1)[0])
-        path.getFileSystem(conf).delete(path, True)
+    folder = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_cut", None)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def mark() -> set[str]:
+    """The scratch tables there are now, for ``release`` to spare."""
+    return set(_SCRATCH)
+
+
+def release(spark: SparkSession, spare: set[str] | None = None) -> None:
+    """Delete the scratch tables of finished queries, but for those to ``spare``. Call it when no
+    result is in use any more."""
+    for path in [p for p in _SCRATCH if p not in (spare or ())]:
+        _SCRATCH.remove(path)
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

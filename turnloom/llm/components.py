@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def _min_of_neighbours(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -39,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = C.cut(edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).where("a <> b").distinct(), "edges")
     before = None
     while True:
-        edges = C.cut(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, C.cut(_small_star(_large_star(edges)), "stars")
+        C.forget(last)
         # order-free digest of the edges: unchanged means every component is one star
         now = edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

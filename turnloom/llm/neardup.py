@@ -12,9 +12,15 @@ pair of a band that these links leave in different components is checked too: pa
 bands, in large ones block by block (a task holds two blocks of bounded size and names a forest of
 their links). Classes are the connected components of the links.
 
+A node is a text, whatever ids its rows have: its name is the smallest of these followed by the
+text's 128-bit digest, so the smallest node of a class also names the class.
+
 Words: runs of anything but blanks, A-Z lower-cased. A text of fewer words than a shingle is one
 shingle. Defined cases: null is the empty text; texts without words are duplicates only of texts
-that equal them; repeated rows are copies; ties go to the smaller doc_id; an empty table gives no rows.
+that equal them; repeated rows are copies; rows of one doc_id with different texts are judged text
+by text; rows without a doc_id belong to the class of their text, whose class_id is null only if all
+its rows lack one; ties go to the smaller doc_id, then the smaller digest; columns other than doc_id
+and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType
 
 from . import common as C
 from .components import components
@@ -213,7 +219,7 @@ def _forest(a: list, b: list) -> list[int]:
     return out
 
 
-def _block_links(threshold: float, kind: pa.DataType):
+def _block_links(threshold: float):
     """Links between a block's texts ``x`` and its texts ``y`` (or within ``x``, if there are no
     ``y``) of different roots, as far as they join roots not joined before."""
 
@@ -238,7 +244,7 @@ def _block_links(threshold: float, kind: pa.DataType):
         r, c = np.nonzero((sim >= threshold) & (label[rows][:, None] != label[cols][None]))
         keep = _forest(label[rows[r]].tolist(), label[cols[c]].tolist())
         found = [(*sorted((node[rows[r[k]]], node[cols[c[k]]])), float(sim[r[k], c[k]])) for k in keep]
-        return pa.table({n: pa.array([x[k] for x in found], t) for k, (n, t) in enumerate((("a", kind), ("b", kind), ("sim", pa.float64())))})
+        return pa.table({n: pa.array([x[k] for x in found], t) for k, (n, t) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64())))})
 
     return run
 
@@ -259,18 +265,37 @@ def _blocks(members: DataFrame, sets: DataFrame, large: DataFrame, block: int) -
     return some.select("band", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).alias("y"), "node", "root", "shingles")
 
 
+def _node(kind: DataType, doc_id: Column, key: Column) -> Column:
+    """A flag, the id in bytes that sort as ids do, and the text's digest; nodes without an id come last."""
+    if isinstance(kind, IntegralType):
+        raw = F.unhex(F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    else:
+        raw = F.concat(F.encode(doc_id.cast("string"), "utf-8"), F.lit(b"\0"))
+    return F.coalesce(F.concat(F.lit(b"\0"), raw, key), F.concat(F.lit(b"\1"), key))
+
+
+def _id_of(kind: DataType, node: Column) -> Column:
+    size = F.length(node)
+    if isinstance(kind, IntegralType):
+        own = (F.conv(F.hex(F.substring(node, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast(kind)
+    else:
+        own = F.decode(F.substr(node, F.lit(2), size - F.lit(18)), "utf-8").cast(kind)
+    return F.when(size > 17, own)
+
+
 def links(
-    docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, t: int = COORDINATES, rows: int = ROWS, part_bytes: int = 1 << 22, small: int = SMALL, block: int = BLOCK
+    docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, t: int = COORDINATES, rows: int = ROWS, part_bytes: int = 1 << 20, small: int = SMALL, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: doc_id, key; texts: key, node, copies; links: a, b, sim). A node is the smallest
-    doc_id of a text; links join different texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(members: doc_id, key; texts: key, node, copies; links: a, b, sim). Links join nodes; they
+    suffice to join all the texts of a class, and between texts joined by others some are left out."""
+    field = docs.schema["doc_id"].dataType
+    kind = field.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", key.alias("key"), text.alias("text"))
+    keyed = docs.select("doc_id", key.alias("key"), text.alias("text"))
     signed = C.cut(keyed.mapInArrow(_signatures(t, rows, k, part_bytes), f"doc_id {kind}, key binary, bands array<long>"), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
-    texts = C.cut(texts, "texts")
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+    texts = C.cut(texts.withColumn("node", _node(field, F.col("id"), F.col("key"))), "texts")
 
     bands = C.cut(texts.select(F.col("node"), F.explode("bands").alias("band")), "bands")
     # a centre is the first text of its band in an order that goes by the band too, so that a text
@@ -278,16 +303,17 @@ def links(
     first = F.min(F.struct(F.xxhash64("node", F.pmod("band", F.lit(4))).alias("h"), F.col("node").alias("n"))).getField("n")
     centres = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), first.alias("centre")).where("m > 1").select("band", "centre")
     met = C.cut(bands.join(centres, "band").where("node <> centre").select("band", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node"), "met")
+    C.forget(bands)
     pairs = C.cut(met.select("a", "b").distinct(), "pairs")
     need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    own = texts.join(need, "node", "left_semi").select(F.col("node"), F.col("key").alias("k"))
-    full = keyed.join(own, (keyed["doc_id"] == own["node"]) & (keyed["key"] == own["k"])).select("doc_id", "text")
-    sets = C.cut(full.mapInArrow(_sets(k, part_bytes), f"node {kind}, shingles binary").dropDuplicates(["node"]), "sets", "none")
+    own = texts.join(need, "node", "left_semi").select("node", "id", F.col("key").alias("k"))
+    full = keyed.join(own, keyed["doc_id"].eqNullSafe(own["id"]) & (keyed["key"] == own["k"])).select("node", "text")
+    sets = C.cut(full.mapInArrow(_sets(k, part_bytes), "node binary, shingles binary").dropDuplicates(["node"]), "sets", "none")
 
     def check(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return C.cut(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_similar, f"a {kind}, b {kind}, sim double"), "similar")
+        return C.cut(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_similar, "a binary, b binary, sim double"), "similar")
 
     tried = check(pairs)
     found = tried.where(F.col("sim") >= threshold)
@@ -295,6 +321,7 @@ def links(
     # the centres are done; of the others of a band, those pairs are open that have different roots
     roots = components(found.select("a", "b"))
     members = C.cut(met.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "members")
+    C.forget(met, pairs)
     counts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     open_ = counts.groupBy("band").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("r"), F.max(F.struct("n", "root")).getField("root").alias("top")).where("r > 1")
     open_ = C.cut(open_.select("band", "m", "top"), "open")
@@ -304,21 +331,34 @@ def links(
     pairs = C.cut(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     found = found.unionAll(check(pairs).where(F.col("sim") >= threshold))
     blocks = _blocks(members, sets, open_.where(F.col("m") > small).select("band", "top"), block)
-    run = _block_links(threshold, to_arrow_type(docs.schema["doc_id"].dataType))
-    linked = C.cut(blocks.groupBy("band", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, sim double"), "linked")
+    linked = C.cut(blocks.groupBy("band", "i", "j").applyInArrow(_block_links(threshold), "a binary, b binary, sim double"), "linked")
+    C.forget(members, open_, pairs, sets)
     return signed.select("doc_id", "key"), texts.select("key", "node", "copies"), found.unionAll(linked.dropDuplicates(["a", "b"]))
 
 
-def classes(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), copies (rows with the same text),
-    n_links (different texts that its text was linked to)."""
+HOT = 1000  # a text of more than a thousandth of all rows is hot, so there are at most as many
+
+
+def _rows_of(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, key; named, one row a text: key, node, root, copies; its hot rows)."""
     members, texts, found = links(docs, **how)
     found = C.cut(found, "links")
     roots = components(found.select("a", "b"))
-    degree = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = texts.join(roots, "node", "left").join(degree, "node", "left")
-    named = C.cut(named.select("key", F.coalesce("root", "node").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return members.join(named, "key").select("doc_id", "class_id", "copies", "n_links")
+    named = C.cut(texts.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "copies"), "classes")
+    C.forget(found)
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    return members, named, named.where(F.col("copies") * HOT > F.lit(total))
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), copies (rows with the same text)."""
+    kind = docs.schema["doc_id"].dataType
+    members, named, hot = _rows_of(docs, **how)
+    class_of = named.select("key", _id_of(kind, F.col("root")).alias("class_id"), "copies")
+    # a hot text's rows meet it where they are; the rest meet theirs by key
+    few = class_of.join(F.broadcast(hot.select("key")), "key", "left_semi")
+    many = members.join(F.broadcast(hot.select("key")), "key", "left_anti").join(class_of, "key")
+    return members.join(F.broadcast(few), "key").unionByName(many).select("doc_id", "class_id", "copies")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -326,8 +366,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """One row of ``docs`` for each class, that of the smallest doc_id; repeated rows of it too stay
-    one. All columns stay as they are; rows without a doc_id are kept, as they can't be told apart."""
-    keep = classes(docs.select("doc_id", "text"), **how).select(F.col("class_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id IS NULL"))
+    """One row of ``docs`` for each class, that of the smallest doc_id, with all its columns; of
+    rows that repeat both doc_id and text, one."""
+    kind = docs.schema["doc_id"].dataType
+    _, named, _ = _rows_of(docs.select("doc_id", "text"), **how)
+    keep = named.where("node = root").select(F.col("key").alias("k"), _id_of(kind, F.col("node")).alias("i"))
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(C.whole_text().cast("binary"))).alias("key"), F.col("doc_id").alias("id"))
+    return rows.join(keep, (rows["key"] == keep["k"]) & rows["id"].eqNullSafe(keep["i"])).dropDuplicates(["key"]).select("row.*")
