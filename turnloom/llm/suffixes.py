@@ -12,11 +12,13 @@ document or the same one. Suffix arrays decide it, built in shards that need not
 4. A name with very many contexts is dealt over several shards. These write their distinct windows,
    sorted by fingerprint; cross-shard repeats are found by binary search while the lists merge.
 
-Identical texts count as repeats of each other at once and travel once.
+Identical texts (told by a 128-bit digest) count as repeats of each other at once and travel once.
+Contexts are told by 64-bit fingerprints within a shard, windows of hot names within their ranges.
 
-Defined cases: a null text is an empty one; texts under ``LENGTH`` bytes keep all bytes unless
-nothing else is said; repeated rows are documents of their own and so repeat each other; an empty
-table gives no rows.
+Defined cases: a null text is an empty one; texts under ``LENGTH`` bytes keep all bytes; repeated
+rows, and rows of one doc_id or none, are documents of their own and so repeat each other; there are
+no ties, as all places of a repeated string go; columns of any name pass through ``without_repeats``
+as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -169,7 +171,6 @@ def _anchors(length: int, gram: int, target: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0))
             for i, j, buf, offs in C.text_parts(batch, "text", target):
                 if len(buf) < length:
                     continue
@@ -190,7 +191,7 @@ def _anchors(length: int, gram: int, target: int):
                 name, text = m[a][o], t[o]
                 g = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (text[1:] != text[:-1])]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[g].view(np.int64)), pa.array(keys[i:j][text[g]]), pa.array(np.add.reduceat(n[o], g))], ["name", "key", "n"]
+                    [pa.array(name[g].view(np.int64)), batch.column(0).take(pa.array(i + text[g])), pa.array(np.add.reduceat(n[o], g))], ["name", "key", "n"]
                 )
 
     return run
@@ -444,33 +445,36 @@ def _merge(length: int):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = 1 << 20, shard_bytes: int = SHARD_BYTES, n_shards: int | None = None) -> DataFrame:
-    """``docs`` with __key (its text's), __copies (rows with that text) and __spans (repeated ranges
-    of the text, as lists of packed starts and ends)."""
+    """(row, copies, spans): each row of ``docs``, how many rows have its text, and the repeated
+    ranges of the text, as lists of packed starts and ends."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__key", F.xxhash64(text, F.crc32(text.cast("binary")), F.length(text)))
-    anchors = keyed.select(F.col("__key").alias("key"), text.alias("text")).mapInArrow(_anchors(length, gram, part_bytes), "name long, key long, n long")
+    text = C.whole_text()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    anchors = keyed.select("key", "text").mapInArrow(_anchors(length, gram, part_bytes), "name long, key binary, n long")
     anchors = C.cut(anchors.groupBy("name", "key").agg(F.max("n").alias("n")), "anchors")
     names = anchors.groupBy("name").agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1 OR lo < hi").select("name", "n")
     wanted = anchors.select("name", "key").join(names, "name").groupBy("key").agg(F.collect_list(F.struct("name", "n")).alias("names"))
-    copies = keyed.groupBy("__key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    wanted = C.cut(wanted.join(copies, wanted["key"] == copies["__key"]).select("key", "rep", "copies", "names"), "wanted")
+    copies = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # inside the shards a text goes by a number, which this table fixes
+    wanted = C.cut(wanted.join(copies, "key").select("key", F.monotonically_increasing_id().alias("num"), "rep", "names"), "wanted")
+    C.forget(anchors)
     total = int(wanted.select(F.sum(F.size("names"))).first()[0] or 0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = n_shards or max(parts, total * _CONTEXT // (4 * shard_bytes) + 1)
     per_salt = max(64.0, total / shards / 2, 1.0)
     per_salt = min(per_salt, shard_bytes / 2 / _CONTEXT)
-    some = keyed.select("doc_id", "__key", text.alias("text"))
-    own = some["doc_id"].eqNullSafe(wanted["rep"]) & (some["__key"] == wanted["key"])
-    contexts = some.join(wanted, own).select("key", "text", "names")
+    own = keyed["id"].eqNullSafe(wanted["rep"]) & (keyed["key"] == wanted["key"])
+    contexts = keyed.select("id", "key", "text").join(wanted, own).select("num", "text", "names")
     contexts = contexts.mapInArrow(_contexts(length, gram, part_bytes, shards, per_salt), "shard long, bytes binary, head binary, refs binary")
     judged = C.cut(contexts.groupBy("shard").applyInArrow(_judge(length, shards, shard_bytes), _OUT), "judged", "none", "kind")
     merged = judged.where("kind = 'list'").select("r", "a", "b", "c").groupBy("r").applyInArrow(_merge(length), _OUT)
-    spans = judged.where("kind = 'span'").select("key", "a").unionAll(merged.select("key", "a")).groupBy("key").agg(F.collect_list("a").alias("__spans"))
+    spans = judged.where("kind = 'span'").select("key", "a").unionAll(merged.select("key", "a")).groupBy("key").agg(F.collect_list("a").alias("spans"))
+    spans = spans.join(wanted.select("num", F.col("key").alias("text_key")), spans["key"] == wanted["num"]).select("text_key", "spans")
     many = copies.where("copies > 1")
-    info = many.select(F.col("__key").alias("key"), "copies").join(spans, "key", "full_outer")
-    info = C.cut(info.select(F.col("key").alias("__k"), F.coalesce("copies", F.lit(1)).alias("__copies"), "__spans"), "spans")
-    return keyed.join(info, keyed["__key"] == info["__k"], "left").drop("__k")
+    info = many.join(spans, many["key"] == spans["text_key"], "full_outer").select(F.coalesce("key", "text_key").alias("k"), F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
+    info = C.cut(info, "spans")
+    C.forget(judged, wanted)
+    return keyed.select("row", "key").join(info, keyed["key"] == info["k"], "left").select("row", "copies", "spans")
 
 
 def removed_mask(n: int, copies: int | None, spans: list[bytes] | None, length: int) -> np.ndarray:
@@ -500,29 +504,28 @@ def query(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeats(docs.select("doc_id", "text"), length, **how).select("doc_id", "text", "__copies", "__spans")
+    found = repeats(docs.select("doc_id", "text"), length, **how).select("row.*", "copies", "spans")
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """``docs`` with the repeated ranges cut out of ``text``; a character that is cut in part goes.
     All other columns stay as they are."""
-    found = repeats(docs, length, **how).drop("__key")
-    at = found.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             out = []
-            for text, copies, spans in zip(*(batch.column(k).to_pylist() for k in (at, names.index("__copies"), names.index("__spans"))), strict=True):
+            for text, copies, spans in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1)), strict=True):
                 if text is None:
                     out.append(None)
                     continue
                 raw = np.frombuffer(text.encode(), np.uint8)
                 gone = removed_mask(len(raw), copies, spans, length)
                 out.append(raw[~gone].tobytes().decode(errors="ignore") if gone.any() else text)
-            cols = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names) - 2)]
-            yield pa.RecordBatch.from_arrays(cols, names[:-2])
+            cols = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = docs.schema
-    return found.select(*[f"`{c}`" for c in docs.columns], "__copies", "__spans").mapInArrow(run, schema)
+    found = repeats(docs, length, **how)
+    cols = [F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(names)]
+    return found.select(*cols, "copies", "spans").mapInArrow(run, docs.schema)
