@@ -12,12 +12,13 @@ Words: runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. Terms are 64
 Defined cases: null or empty texts have no words and are never hit; an item of fewer words than
 the window is one window, an item of none has none; repeated documents are judged row by row,
 repeated items each count; items without an id hit like others, are one item and not named in the
-list; ``without_hits`` goes by the text where the doc_id is null; an empty benchmark hits nothing.
+list; ``without_hits`` goes by the text alone, so equal ids or none do no harm; ties don't occur;
+columns other than the id and the text are not read; an empty benchmark hits nothing, empty documents
+give no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,9 +160,22 @@ class Queries:
                     lists.append([])
                 if not lists[n] or lists[n][-1] != item:
                     lists[n].append(item)
-        self.sizes = {size: np.frombuffer(b"".join(seen), np.uint64).reshape(-1, size) for size, seen in found.items()}
+        sizes = {size: np.frombuffer(b"".join(seen), np.uint64).reshape(-1, size) for size, seen in found.items()}
+        # each distinct term is looked up once a segment; windows name their terms by place
+        self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.ravel() for w in sizes.values())]))
+        self.sizes = {size: np.searchsorted(self.terms, w).astype(np.int32) for size, w in sizes.items()}
         self.owners = owners
 
+    def present(self, seg: Segment) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, window numbers, their terms' places in the segment) of the windows all of whose
+        terms the segment has: a window goes with the first term that is missing."""
+        at = seg.find(self.terms)
+        for size, windows in self.sizes.items():
+            left = np.arange(len(windows))
+            for k in range(size):
+                left = left[at[windows[left, k]] >= 0]
+            yield size, left, at[windows[left]]
+
 
 def search_block(index: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> DataFrame:
     """Add the hits of one block of items to each segment's row."""
@@ -180,10 +194,9 @@ def search_block(index: DataFrame, items: list[tuple[str, str | None]], window:
                 old = np.frombuffer(hits, np.uint8)
                 mark = np.unpackbits(old)[:total].astype(np.int32) if len(old) else np.zeros(total, np.int32)
                 edge = np.zeros(total + 1, np.int32)
-                for size, windows in q.sizes.items():
-                    at = seg.find(windows)
-                    for w in np.flatnonzero((at >= 0).all(axis=1)):
-                        where = seg.phrase(at[w])
+                for size, which, at in q.present(seg):
+                    for w, terms in zip(which, at, strict=True):
+                        where = seg.phrase(terms)
                         if len(where):
                             np.add.at(edge, where, 1)
                             np.add.at(edge, where + size, -1)
@@ -276,16 +289,12 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0) -> DataFrame:
-    """Documents whose share of hit words is at most ``max_share``; all their columns stay."""
-    # rows without an id go by their text
-    key = F.coalesce(F.concat(F.lit("i"), docs["doc_id"].cast("string")), F.concat(F.lit("t"), F.md5(C.whole_text().cast("binary"))))
+    """Rows whose text's share of hit words is at most ``max_share``, with all their columns."""
+    key = F.unhex(F.md5(C.whole_text().cast("binary")))
     found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark)
-    bad = found.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, key == bad["__bad"], "left_anti")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    bad = found.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(bad, rows["key"] == bad["bad"], "left_anti").select("row.*")
 
 
 ORACLE = r"""
