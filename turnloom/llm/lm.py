@@ -1,10 +1,10 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is an interpolated absolute-discount bigram over all training tokens. As an automaton:
-a root state with an arc for every word, add-one smoothed with one share for unseen words; a state
-for every context seen in training, ``MIN_STATE`` times or more (and one for the text's start), with an arc for
-each word seen after it and a failure arc to the root for all others. One left-to-right traversal
-carries the state and adds up the log-probabilities of arcs and failure arcs.
+The model is an interpolated absolute-discount bigram over all training tokens. As an automaton
+(``Automaton``): a root state with an arc for every word, add-one smoothed with one share for unseen
+words; a state for the text's start and for every context seen in training, with an arc for each word
+seen after it and a failure arc to the root for all others. One left-to-right traversal carries the
+state and adds up the log-weights of the arcs and failure arcs that it takes.
 
 Neither the vocabulary nor the bigrams have a bound, so no model is broadcast. Texts are read
 once into *segments* of a few MB (word ids of the segment's own dictionary); what a segment needs
@@ -17,14 +17,18 @@ to know of the corpus is gathered by hash ranges and sent back to it:
 4. ranges answer with bigram counts and the number of different followers of the context;
 5. each segment builds its part of the automaton and traverses its texts.
 
+Words are told by 64 bits of their hash, a bigram's second word by 48.
+
 Defined cases: a null or empty text is one end token; texts without training tokens score by the
-unseen share alone; repeated rows are scored row by row; an empty table gives no rows.
+unseen share alone; rows without a doc_id are learned from; repeated rows are scored row by row;
+there are no ties; columns other than doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ from . import common as C
 DISCOUNT = 0.75
 MIN_STATE = 1
 SEGMENT_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20  # of dictionary entries that a range task holds
 _END = C._U(0x5D1E0F2C3B4A6978)
 _START = C._U(0x1B873593CC9E2D51)
 
@@ -158,11 +163,10 @@ def _answers(parts: pa.Table, column: str, kind, order: np.ndarray) -> np.ndarra
 def _bigrams(ids: np.ndarray, u: np.ndarray, size: np.ndarray, c1: np.ndarray, min_state: int, hot: np.ndarray, n_ranges: int) -> dict:
     """The tokens whose context is a state, their distinct bigrams, and the order in which these
     are asked for: by range, then by context."""
-    prev = np.empty(len(ids), np.int64)
-    prev[1:] = ids[:-1]
-    prev[np.cumsum(size) - size] = -1
-    place = np.flatnonzero((prev < 0) | (c1[np.maximum(prev, 0)] >= min_state))
-    state = prev[place]
+    is_state = c1 >= min_state
+    state = Automaton.states(ids, size, is_state)
+    place = np.flatnonzero(state != Automaton.ROOT)
+    state = state[place]
     ctx = np.where(state < 0, _START, u[np.maximum(state, 0)])
     word = u[ids[place]] & _LOW48
     g, at, inv = np.unique(_bigram_key(ctx, word), return_index=True, return_inverse=True)
@@ -170,7 +174,7 @@ def _bigrams(ids: np.ndarray, u: np.ndarray, size: np.ndarray, c1: np.ndarray, m
     is_hot = np.isin(ctx, hot)
     r = (np.where(is_hot, g, ctx) % C._U(n_ranges)).astype(np.int64)
     order = np.lexsort((ctx, r))
-    return {"place": place, "state": state, "ctx": ctx, "word": word, "inv": inv, "hot": is_hot, "order": order, "r": r[order]}
+    return {"is_state": is_state, "place": place, "state": state[at], "id": ids[place[at]], "ctx": ctx, "word": word, "inv": inv, "hot": is_hot, "order": order, "r": r[order]}
 
 
 def _bigram_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -236,17 +240,63 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["ctx", "n"])
 
 
+@dataclass
+class Automaton:
+    """A segment's part of the automaton, over the words and the (state, word) steps of its texts.
+
+    A state is the word that leads to it, START at a text's start, or ROOT for a word that is no
+    context. Every arc over a word leads to that word's state, be it taken in a state or, behind a
+    failure arc, in the root.
+    """
+
+    root: np.ndarray  # log10 weight of the root's arc over each word
+    is_state: np.ndarray  # whether a word has a state of its own
+    arc: np.ndarray  # log10 weight of each step: of its arc, interpolated, or of failure arc and root's arc
+    dead: np.ndarray  # steps whose state has no followers in training; they are the root's
+
+    START = -1
+    ROOT = -2
+
+    @staticmethod
+    def states(ids: np.ndarray, size: np.ndarray, is_state: np.ndarray) -> np.ndarray:
+        """The state before each token of the texts (``size`` tokens each), left to right."""
+        out = np.empty(len(ids), np.int64)
+        out[1:] = np.where(is_state[ids[:-1]], ids[:-1], Automaton.ROOT)
+        out[np.cumsum(size) - size] = Automaton.START
+        return out
+
+    @classmethod
+    def build(cls, c1: np.ndarray, total: float, is_state: np.ndarray, word: np.ndarray, seen: np.ndarray, count: np.ndarray, followers: np.ndarray, discount: float) -> Automaton:
+        """c1: training count of each word; of each step: its word, how often its state was passed in
+        training, how often the word followed, and how many different words did."""
+        root = np.log10((c1 + 1) / total)
+        dead = (seen <= 0) | (followers <= 0)
+        times = np.where(dead, 1.0, seen)
+        fail = discount * followers / times  # weight of the state's failure arc
+        arc = np.where(dead, 1.0, np.maximum(count - discount, 0) / times + fail * 10 ** root[word])
+        return cls(root, is_state, np.log10(arc), dead)
+
+    def traverse(self, ids: np.ndarray, size: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """log10 weights of the tokens; ``step`` names the step of each token that stands in a state
+        other than the root, in their order."""
+        path = self.root[ids]
+        place = np.flatnonzero(self.states(ids, size, self.is_state) != self.ROOT)
+        live = ~self.dead[step]
+        path[place[live]] = self.arc[step[live]]
+        return path
+
+
 def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STATE, n_ranges: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Score ``docs`` (doc_id, text, held boolean): learn from those not held, score all.
 
-    ``n_ranges`` defaults to spark.sql.shuffle.partitions, so it follows the size of the job.
+    ``n_ranges`` follows the size of the segments' dictionaries, from spark.sql.shuffle.partitions up.
     """
     spark = docs.sparkSession
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     segs = C.cut(segments(docs.select("doc_id", "text", "held"), segment_bytes), "segments", "none")
-    n_train = int(segs.agg(F.sum("n")).first()[0] or 0)
+    sums = segs.agg(F.sum("n"), F.sum(F.size(F.filter("held", lambda x: ~x))), F.sum(F.length("words"))).first()
+    n_train, n_docs = int(sums[0] or 0), int(sums[1] or 0)
+    ranges = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sums[2] or 0) // RANGE_BYTES + 1)
 
     parts = segs.select("seg", "held", "ids", "words", "sizes").mapInArrow(_word_parts(ranges), "seg string, r int, a binary, b binary")
     counted = C.cut(parts.groupBy("r").applyInArrow(_count_words(max(2, 2 * n_train // ranges)), _ANSWER_DDL), "counts", "none", "kind")
@@ -277,7 +327,6 @@ def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STAT
     hot_ids = np.array([x.ctx for x in follow], np.int64).view(np.uint64)
     by = np.argsort(hot_ids)
     hot_follow = spark.sparkContext.broadcast((hot_ids[by], np.array([x.n for x in follow], np.int64)[by]))
-    n_docs = segs.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     total = n_train + vocabulary + 1
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -287,7 +336,6 @@ def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STAT
         c1 = _answers(right.filter(pa.array(~two)), "a", np.int64, _word_order(u, ranges)[0])
         x = _bigrams(ids, u, size, c1, min_state, hot.value, ranges)
         right = right.filter(pa.array(two))
-        inv, place, state = x["inv"], x["place"], x["state"]
         c2 = _answers(right, "a", np.int32, x["order"]).astype(float)
         t2 = _answers(right, "b", np.int32, x["order"]).astype(float)
         hot_u, hot_n = hot_follow.value
@@ -295,13 +343,9 @@ def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STAT
             own = x["ctx"][x["hot"]]
             k = np.minimum(np.searchsorted(hot_u, own), len(hot_u) - 1)
             t2[x["hot"]] = np.where(hot_u[k] == own, hot_n[k], 0)
-        logp = np.log10((c1 + 1) / total)[ids]  # the root's arcs, and its share for unseen words
-        seen = np.where(state < 0, n_docs, c1[np.maximum(state, 0)]).astype(float)
-        live = (seen > 0) & (t2[inv] > 0)
-        fail = discount * t2[inv] / np.where(live, seen, 1)  # weight of the state's failure arc
-        p = np.maximum(c2[inv] - discount, 0) / np.where(live, seen, 1) + fail * 10 ** logp[place]
-        path = logp.copy()
-        path[place[live]] = np.log10(p[live])
+        seen = np.where(x["state"] < 0, n_docs, c1[np.maximum(x["state"], 0)]).astype(float)
+        model = Automaton.build(c1, total, x["is_state"], x["id"], seen, c2, t2, discount)
+        logp, path = model.root[ids], model.traverse(ids, size, x["inv"])
         begin = np.cumsum(size) - size
         add = lambda v: np.add.reduceat(v, begin) if len(begin) else np.zeros(0)
         return pa.Table.from_arrays(
