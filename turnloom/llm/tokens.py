@@ -5,14 +5,16 @@ nothing but blanks to U+2581, and no piece holds a non-blank before a blank. A m
 never cross the place where a blank follows a non-blank, so every such place is a *stable
 boundary*: the tokens on either side are the same whatever stands on the other.
 
-* Texts up to ``HUGE`` characters are encoded unit by unit between stable boundaries, each
-  distinct unit once a worker.
-* Longer texts are encoded in chunks that overlap, with the library's offsets. Two neighbours
-  are spliced at a stable boundary inside their overlap where both have a token border and the
-  tokens around it agree. Where the overlap holds none, it is widened twofold and encoded anew.
+* A text beyond one chunk is encoded in chunks that overlap, with the library's offsets. Two
+  neighbours are spliced at a stable boundary inside their overlap where both have a token border and
+  the tokens around it agree. Where the overlap holds none, it is widened twofold and encoded anew.
+* A text within one chunk has nothing to splice: it is counted unit by unit between stable
+  boundaries, each distinct unit once a worker.
 
 A model without the two facts is given whole texts. Defined cases: null and empty texts have no
-tokens; special strings in texts are ordinary text, as the library's default is.
+tokens; special strings in texts are ordinary text, as the library's default is; repeated rows are
+counted row by row; ties don't occur; columns other than the id and the text are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-HUGE = 32_768
 CHUNK = 8_192
 OVERLAP = 256
 MEMO = 1_000_000
@@ -43,11 +44,11 @@ def model_path(name: str = DEFAULT_MODEL) -> str:
 
 
 class TokenCounter:
-    def __init__(self, model_file: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, model_file: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.huge, self.chunk, self.overlap = huge, chunk, overlap
+        self.chunk, self.overlap = chunk, overlap
         self.memo: dict[str, int] = {}
         self.widened = 0
         self._load()
@@ -72,7 +73,7 @@ class TokenCounter:
         """Token counts of many texts; units that are new to the memo are encoded in one call."""
         if not self.stable:
             return [len(self.sp.encode(t)) if t else 0 for t in texts]
-        units = [_UNITS.findall(" " + t) if t and len(t) <= self.huge else None for t in texts]
+        units = [_UNITS.findall(" " + t) if t and len(t) <= self.chunk else None for t in texts]
         new = set().union(*[u for u in units if u]) - self.memo.keys() if any(units) else set()
         if new:
             if len(self.memo) + len(new) > MEMO:  # memory stays bounded; the rows at hand are looked up from scratch
