@@ -7,7 +7,9 @@ is the intercept plus one table entry a feature and pair, through the logistic f
 
 The model is fitted on the driver from at most ``limit`` labelled rows and is a few kB.
 Defined cases: null and empty texts have zero features and a score like any other; without
-labels every score is 0.5; repeated labels count twice, conflicting ones pull both ways.
+labels every score is 0.5; repeated labels count twice, conflicting ones pull both ways; of labelled
+rows beyond ``limit`` those of the smallest hashes of their ids are learned from, ties by id; repeated
+rows are scored row by row; other columns of either table are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

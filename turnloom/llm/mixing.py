@@ -12,7 +12,10 @@ adds up K and K x K sums over a compact table. No rates are stored, no lineage g
 miss the targets by ridge * m, which is below TOLERANCE unless rates would have to pass about 100.
 
 Defined cases: null and empty texts have no tokens and keep rate 1; a domain without documents
-can't be matched and only its residual remains; a target of zero drives its documents' rates down.
+can't be matched and only its residual remains (``report`` states it); a target of zero drives its
+documents' rates down; repeated rows and equal texts each get a rate, the same one; labelled rows
+without a quality or toxicity mark teach nothing, repeated and conflicting ones all count; other
+columns of either table are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,6 +153,17 @@ def rates(table: DataFrame, targets: np.ndarray, ridge: float = RIDGE, **how) ->
     return table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>, rate double")
 
 
+def report(rated: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """Per domain: the target share of the tokens, the share that the rates reach, and the residual.
+
+    ``rated`` is what ``mix`` returns. Shares are of the tokens before mixing, as in the objective.
+    """
+    n = F.col("n_tokens").cast("double")
+    sums = rated.agg(F.sum(n).alias("n"), *[F.sum(n * F.col("rate") * F.col("posteriors")[k]).alias(f"s{k}") for k in range(len(targets))])
+    rows = [F.struct(F.lit(name).alias("domain"), F.lit(float(t)).alias("target"), F.try_divide(F.col(f"s{k}"), F.col("n")).alias("reached")) for k, (name, t) in enumerate(targets.items())]
+    return sums.select(F.inline(F.array(*rows))).withColumn("residual", F.col("reached") - F.col("target"))
+
+
 def domains_of(labels: DataFrame) -> DataFrame:
     """The labelled table's domains: good or poor, toxic or not."""
     name = F.when(F.col("quality") == 1, F.lit("good")).otherwise(F.lit("poor"))

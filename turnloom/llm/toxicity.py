@@ -5,7 +5,9 @@ say nothing at exactly zero, so what is broadcast is a short sorted list of (fea
 
 The learner passes over at most ``limit`` labelled rows on the driver; ``limit`` and ``bits``
 bound the model. Defined cases: null and empty texts have no features and score by the bias;
-without labels every score is 0.5; repeated labels count twice.
+without labels every score is 0.5; repeated labels count twice, conflicting ones pull both ways; of
+labelled rows beyond ``limit`` those of the smallest hashes of their ids are learned from, ties by id;
+repeated rows are scored row by row; other columns of either table are not read.
 """
 
 from __future__ import annotations
