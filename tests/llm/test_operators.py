@@ -205,7 +205,7 @@ def test_lm_scores_words_after_a_rare_context(spark):
 
 
 def test_token_counts_equal_the_library():
-    c = tokens.TokenCounter(tokens.model_path(), huge=200, chunk=100, overlap=20)
+    c = tokens.TokenCounter(tokens.model_path(), chunk=100, overlap=20)
     rng = np.random.default_rng(1)
     cases = ["", " ", "  ", "a ", "\n", "<s> x </s>", "▁a ▁ b", "x" * 900, " " * 900, "a" * 300 + " " + "b" * 500]
     cases += ["".join(rng.choice(list(" ab é\n▁|the  "), rng.integers(900))) for _ in range(200)]
