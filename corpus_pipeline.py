@@ -2,8 +2,10 @@
 before kept. A stage gets (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.
 
-All stages but the last return the columns of ``documents``. Null or empty texts fail the first
-stage's length rule; an empty table passes through every stage as one.
+All stages but the last return the columns of ``documents``, whatever these are called. Null or
+empty texts fail the first stage's length rule; rows without a doc_id, and different texts under one,
+are judged by their texts; of repeated rows near_dedup keeps one, of equals that of the smallest
+doc_id; an empty table passes through every stage as one.
 """
 
 from __future__ import annotations
@@ -49,14 +51,17 @@ STAGES = [
     ("mix_to_targets", mix_to_targets),
 ]
 
-#: Suffix arrays and fitted rates have no SQL form; the tests compare each stage with brute force.
+#: Suffix arrays and fitted rates have no SQL form; a test compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``. Each but the last is written, and its scratch tables deleted."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.cut(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = common.mark()
+        out = common.cut(stage(spark, docs, sf_dir), name)
+        common.release(spark, spare=before | {out._cut})
+        common.forget(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
