@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import os
 import tempfile
@@ -106,7 +107,22 @@ def whole_text(col: str = "text") -> Column:
 # ---------------------------------------------------------------- Arrow text access
 
 
-def text_parts(batch: pa.RecordBatch, column: str, target: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: idle Python workers stay small between stages."""
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def text_parts(batch: pa.RecordBatch, column: str, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into row ranges of about ``target`` bytes (one row at least).
 
     Yields (first row, end row, UTF-8 bytes, offsets). A null text is an empty one.
@@ -129,6 +145,7 @@ def text_parts(batch: pa.RecordBatch, column: str, target: int = 1 << 22) -> Ite
         j = min(j, n)
         yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    trim()
 
 
 # ---------------------------------------------------------------- byte-level words
@@ -161,20 +178,18 @@ def _table(lower: bool) -> np.ndarray:
     return t
 
 
-_POW: list[np.ndarray] = []
+_BLOCK = 16  # bits of a block's size: hashing holds one block's tables, however long a text is
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            out = []
-            for base in (_P, pow(_P, -1, 1 << 64)):
-                a = np.full(size, base, _U)
-                a[0] = 1
-                out.append(np.multiply.accumulate(a))
-        _POW[:] = out
-    return _POW[0], _POW[1]
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        out = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            a = np.full((1 << _BLOCK) + 1, base, _U)
+            a[0] = 1
+            out.append(np.multiply.accumulate(a))
+    return out[0], out[1]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -206,16 +221,35 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, cls: np.ndarray) -> tuple[np.n
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one prefix sum of table values times powers."""
+    """A 64-bit hash of each byte range (starts in rising order): table values times powers.
+
+    Block by block, from prefix sums of one block; a range over several blocks adds up its pieces."""
+    out = np.zeros(len(starts), _U)
     if not len(starts):
-        return np.zeros(0, _U)
-    up, down = _powers(len(buf) + 1)
+        return out
+    up, down = _powers()
+    size, first = 1 << _BLOCK, starts >> _BLOCK
+    n_more = np.maximum((ends - 1 >> _BLOCK) - first, 0)
+    far = np.flatnonzero(n_more)
+    block = ranges(first[far] + 1, n_more[far])  # of the pieces beyond a range's first block
+    owner = np.repeat(far, n_more[far])
+    by = np.argsort(block, kind="stable")
+    block, owner = block[by], owner[by]
+    values = _table(lower)
+    c = np.zeros(size + 1, _U)
     with np.errstate(over="ignore"):
-        c = np.empty(len(buf) + 1, _U)
-        c[0] = 0
-        np.cumsum(_table(lower)[buf] * up[: len(buf)], out=c[1:])
-        h = (c[ends] - c[starts]) * down[starts]
-        return mix64(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        for b in np.union1d(first, block):
+            lo = int(b) << _BLOCK
+            part = buf[lo : lo + size]
+            np.cumsum(values[part] * up[: len(part)], out=c[1 : len(part) + 1])
+            i, j = np.searchsorted(first, [b, b + 1])
+            s = starts[i:j] - lo
+            out[i:j] += (c[np.maximum(np.minimum(ends[i:j] - lo, size), s)] - c[s]) * down[s]
+            i, j = np.searchsorted(block, [b, b + 1])
+            if i < j:
+                own = owner[i:j]
+                out[own] += c[np.minimum(ends[own] - lo, size)] * np.power(_U(_P), (lo - starts[own]).astype(_U))
+        return mix64(out + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray, cls: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -26,18 +26,21 @@ def _class(chars: bytes) -> np.ndarray:
 _SYMBOLS, _EXCLAIM, _STOPS, _BAR, _NL = (_class(x) for x in (b"#*$%&|<>", b"!?", b".,;:", b"|", b"\n"))
 _UPPER, _LOWER, _DIGIT = (_class(bytes(range(*r))) for r in ((0x41, 0x5B), (0x61, 0x7B), (0x30, 0x3A)))
 _HIGH = np.arange(256) >= 0x80
+_CLASSES = np.stack([_SYMBOLS, _EXCLAIM, _STOPS, _BAR, _HIGH, _UPPER, _LOWER, _DIGIT]).astype(np.int64)
 
 
 def _distinct(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each owner, and the count of its most frequent one."""
+    """Distinct values of each owner (by 40 bits of their hash), and the count of its most frequent one."""
     if not len(h):
         return np.zeros(n), np.zeros(n)
-    o = np.lexsort((h, owner))
-    h, owner = h[o], owner[o]
-    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+    key = (owner.astype(np.uint64) << C._U(40)) | (h >> C._U(24))
+    key.sort()
+    at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    own = (key[at] >> C._U(40)).astype(np.int64)
     top = np.zeros(n)
-    np.maximum.at(top, owner[at], np.diff(np.append(at, len(h))))
-    return np.bincount(owner[at], minlength=n).astype(float), top
+    some = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    top[own[some]] = np.maximum.reduceat(np.diff(np.append(at, len(key))), some)
+    return np.bincount(own, minlength=n).astype(float), top
 
 
 def measure(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -47,25 +50,21 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     words = np.diff(first).astype(float)
     owner = np.repeat(np.arange(n), np.diff(first))
     per = np.maximum(words, 1)
-
-    def count(cls: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[0], np.cumsum(cls[buf])])
-        return (c[offs[1:]] - c[offs[:-1]]).astype(float)
-
+    bytes_of = np.stack([np.bincount(buf[a:b], minlength=256) for a, b in zip(offs[:-1], offs[1:], strict=True)])
+    symbols, exclaims, stops, bars, high, upper, lower, digits = (bytes_of @ _CLASSES.T).T.astype(float)
     triples = C.shingle_hash(h, 3)
     n3 = np.maximum(np.diff(first) - 2, 0)
     at3 = C.ranges(first[:-1], n3)
     d1, top = _distinct(h, owner, n)
     d3, _ = _distinct(triples[at3], np.repeat(np.arange(n), n3), n)
-    _, ls, le, lfirst = C.words_of(buf, offs, ~_NL)
+    lh, _, _, lfirst = C.words_of(buf, offs, ~_NL)
     lines = np.diff(lfirst)
-    dl, _ = _distinct(C.span_hash(buf, ls, le), np.repeat(np.arange(n), lines), n)
+    dl, _ = _distinct(lh, np.repeat(np.arange(n), lines), n)
     size = np.diff(offs).astype(float)
-    upper, lower = count(_UPPER), count(_LOWER)
     cols = [
-        np.log1p(words), np.bincount(owner, weights=e - s, minlength=n) / per, count(_SYMBOLS) / per, count(_EXCLAIM) / per, upper / np.maximum(upper + lower, 1),
-        count(_DIGIT) / np.maximum(size, 1), d1 / per, d3 / np.maximum(n3, 1), 1 - dl / np.maximum(lines, 1), count(_STOPS) / per, count(_HIGH) / np.maximum(size, 1),
-        lines / per, count(_BAR) / per, top / per,
+        np.log1p(words), np.bincount(owner, weights=e - s, minlength=n) / per, symbols / per, exclaims / per, upper / np.maximum(upper + lower, 1),
+        digits / np.maximum(size, 1), d1 / per, d3 / np.maximum(n3, 1), 1 - dl / np.maximum(lines, 1), stops / per, high / np.maximum(size, 1),
+        lines / per, bars / per, top / per,
     ]
     return np.stack(cols, axis=1)
 
@@ -84,7 +83,10 @@ def gram_ids(buf: np.ndarray, offs: np.ndarray, bits: int, pairs: bool = True) -
                 parts.append((C.mix64(h[at] * C._U(C._P) + h[at + gap] + C._U(salt)), np.repeat(np.arange(len(n)), m)))
     ids = np.concatenate([p[0] for p in parts]) >> C._U(64 - bits)
     owner = np.concatenate([p[1] for p in parts])
-    key = np.unique((owner.astype(np.uint64) << C._U(bits)) | ids)
+    key = (owner.astype(np.uint64) << C._U(bits)) | ids
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return (key & C._U((1 << bits) - 1)).astype(np.int32), np.searchsorted(key >> C._U(bits), np.arange(len(n) + 1))
 
 

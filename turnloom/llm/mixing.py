@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import features as X
-from .toxicity import SparseModel, ftrl
+from .toxicity import SparseModel, ftrl, logistic, table_of, text_sums
 
 SAMPLE = 6_000
 BITS = 18
@@ -62,7 +62,10 @@ class DomainModel:
     models: list[SparseModel]
 
     def posteriors(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        p = np.stack([m.score(ids, first) for m in self.models], axis=1) if self.models else np.ones((len(first) - 1, len(self.names)))
+        p = np.ones((len(first) - 1, len(self.names)))
+        if self.models:
+            table = table_of(self.models)
+            p = logistic(np.array([m.bias for m in self.models]) + text_sums(table[np.minimum(ids, len(table) - 1)], first))
         return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
 
 

@@ -35,14 +35,34 @@ class SparseModel:
 
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores of texts whose features are ids[first[k]:first[k+1]]."""
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            w = np.where(self.ids[at] == ids, self.weights[at], 0.0)
-        else:
-            w = np.zeros(len(ids))
-        c = np.concatenate([[0.0], np.cumsum(w)])
-        z = self.bias + c[first[1:]] - c[first[:-1]]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        table = table_of([self])
+        return logistic(self.bias + text_sums(table[np.minimum(ids, len(table) - 1)], first)[:, 0])
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def table_of(models: list[SparseModel]) -> np.ndarray:
+    """The weights of every feature, a column a model: 2**bits rows at most, made once a worker.
+    The last row, for all features beyond those with a weight, is zero."""
+    have = getattr(models[0], "_table", None)
+    if have is None or have.shape[1] != len(models):
+        size = 1 << max([1, *(int(m.ids[-1]).bit_length() for m in models if len(m.ids))])
+        have = np.zeros((size + 1, len(models)))
+        for k, m in enumerate(models):
+            have[m.ids, k] = m.weights
+        models[0]._table = have
+    return have
+
+
+def text_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values[first[k]:first[k+1]] for each k."""
+    out = np.zeros((len(first) - 1, values.shape[1]))
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some], axis=0)
+    return out
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.05, epochs: int = 5, min_count: int = 3) -> SparseModel:
