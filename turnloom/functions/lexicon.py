@@ -9,7 +9,7 @@ DECISION = (
 )
 TRADEOFF = ("vs\\.?", "versus", "trade-?off", "rather than", "instead of", "compared to")
 UNITS = ("pages?", "%", "percent", "tokens?", "chars?", "hours?", "ms", "kb", "mb", "lines?", "chapters?", "turns?")
-IDENTIFIERS = ("phi", "φ", "part ii", "part i", "tier-?\\d", "c\\d{2}-\\d{2}", "eni6ma", "unicity", "hourglass", "shannon")
+IDENTIFIERS = ("phi", "φ", "part ii", "part i", "tier-?\\d", "c\\d{2}-\\d{2}", "unicity", "hourglass", "shannon")
 DEFINITION = ("is defined as", "means that", "defines ", "definition", "fix:", "replaces", "maps? that")
 PREAMBLE = (
     "let me", "i'll", "i will", "i'm going to", "i am going to", "reading", "checking", "running", "thanks", "thank you", "got it", "sure[,.]",
@@ -27,28 +27,68 @@ def any_of(words: tuple[str, ...]) -> str:
 DECISION_RE = rf"\b({any_of(DECISION)})\b"
 TRADEOFF_RE = rf"\b({any_of(TRADEOFF)})\b"
 NUMERIC_RE = rf"\b\d+(\.\d+)?\s*({any_of(UNITS)})\b"
-IDENT_RE = rf"\b({any_of(IDENTIFIERS)})\b"
+def identifier_re(names: tuple[str, ...] = ()) -> str:
+    """Identifiers that count, with a caller's own names (patterns)."""
+    return rf"\b({any_of(IDENTIFIERS + names)})\b"
+
+
 DEFINE_RE = rf"\b({any_of(DEFINITION)})\b|\b\w+ is a \b"
 PREAMBLE_RE = rf"^\s*({any_of(PREAMBLE)})\b"
 OPEN_HINT_RE = rf"\b({any_of(OPEN_HINT)})\b"
+
+# Fixed values (must be equal for equal results): quotes and names.
 QUOTED_RE = "[\"']([^\"']{2,80})[\"']"
 PROPER_RE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
+# End of fixed values.
+
+# Fixed values (must be equal for equal results): what redaction replaces.
 EMAIL_RE = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 KEY_RE = rf"\b(?:{any_of(KEY_PREFIXES)})[A-Za-z0-9_\-\.]{{8,}}\b"
 CREDENTIAL_RE = r"(?i)\b(?:bearer|api[_-]?key|token)\s*[:=]\s*\S+"
 HOME_RE = r"/(?:Users|home)/[^/\s]+"
+# End of fixed values.
 
 # Fixed values (must be equal for equal results); matched without regard to case, ^ and $ at line ends.
-QUOTED_DONE_RE = r"(?:mark(?:ed)?|completed?)\s+[\"'][^\"']+[\"']|[\"'][^\"']+[\"']\s+(?:done|complete)|completed[:\s]+[\"'][^\"']+[\"']"
+QUOTED_DONE_RE = r"(?:mark(?:ed)?|completed?)\s+[\"']([^\"']+)[\"']|[\"']([^\"']+)[\"']\s+(?:done|complete)|completed[:\s]+[\"']([^\"']+)[\"']"
 DONE_VERB_RE = r"\b(?:drafted|implemented|verified|completed|marked)\s+[\"']?([^\"'\n,]{2,80})[\"']?"
 DONE_LINE_RE = r"^\s*(?:[-*]\s*)?(?:completed|done|fixed|resolved|validation)\s*:\s*(.+)$"
 OPEN_LINE_RE = r"^\s*(?:[-*]\s*)?(?:open item|todo|remaining|follow-up|next)\s*:\s*(.+)$"
 TODO_LINE_RE = r"\bTODO:\s*(.+)$"
 NEXT_LINE_RE = r"^\s*next:\s*(.+)$"
-UNCHECKED_RE = r"^\s*[-*]\s+\[ \]\s+(.+)$"
-CHECKED_RE = r"^\s*[-*]\s+\[[xX]\]\s+(.+)$"
+CHECKBOX_RE = r"^[\s]*[-*]\s+\[([ xX])\]\s+(.+)$"
 BULLET_RE = r"^\s*[-*]\s+(?:\[(?: |x|X)\]\s+)?(.+)$"
 OUTCOME_RE = r"\b(?:\d+\s+(?:entries?\s+standardized|broken\s+links?)|0\s+broken\s+links?|Ch\d+\s+[A-Z]{1,4}-\d+\s+link\s+fixed|validation\s+passed|fixed\s+[\w./#-]+)\b"
+NUMBERED_RE = r"^\s*\d+\.\s+(.+)$"
+ADD_RE = r"\badd\b[:\s]+(.+)"
+ACTION_RE = r"\b(should|must|need to|fix|add|move|keep|treat|impose|defer|todo)\b"
+DEFERRED_HINT_RE = r"\b(deferred|out of scope|left unresolved|left alone|untouched because)\b"
 DEFERRED_HEADING_RE = r"\b(left unresolved|deferred|out of scope|unresolved)\b"
 ITEM_EDGE = r"[-*\[\]() \t`\"'.]"
 # End of fixed values.
+
+# Fixed values (must be equal for equal results): headings, fences, topics, designs and paths.
+FENCE_RE = r"(?s)```[^\n]*\n.*?```"
+HEADING_RE = r"^(#{1,6})\s+(.+)$"
+TOPIC_LINE_RE = r"^[ \t]*(?:topic|goal|workstream|task)[ \t]*:[ \t]*(.+)$"
+DESIGN_HEADING_RE = r"\b(?:recommended structure|template|decision|design|glossary design)\b"
+DESIGN_LINE_RE = r"^\s*(?:[-*]\s*)?(?:(structure|entry fields|fields|recommendation|decision|design)\s*[=:]\s*)?(.+)$"
+PATH_EXTENSIONS = (
+    "md", "py", "ts", "tsx", "json", "tex", "sh", "bash", "zsh", "yaml", "yml", "toml", "cfg", "ini", "sql", "rs", "go", "java", "kt", "swift",
+    "c", "h", "cpp", "css", "scss", "html", "png", "jpg", "svg", "pdf", "log.txt",
+)
+PATH_RE = rf"(?:[\w./-]+/)?[\w.-]+\.(?:{any_of(PATH_EXTENSIONS)})\b"
+PREAMBLE_STARTS = ("let me", "i'll", "i will", "reading", "checking", "running", "thanks", "thank you", "got it", "looking at", "let's see")
+HOT_KIND_RE = r"^(OpenItem|Fact|Topic|Event|Turn)\s*:?\s+"
+PATH_LIKE_RE = r"(?:^|\s)(?:Fact\s+)?(?:[\w.-]+/)+[\w.-]+|heading:|\b[\w.-]+\.(?:md|py|json|sh|tex|png|jpg)\b"
+STOP_WORDS = tuple(
+    "a an the and or to of in on for is are was were be been being that this with from as at by it its into after before until while about "
+    "then than so if but not no yes you your we our they their he she his her do does did done have has had will would can could should may "
+    "might must shall just also only very more most other some such too what when where which who whom how all each few both own same any "
+    "add file right left check wait call create open item list note text turn user agent please thank thanks".split()
+)
+VOCABULARY = tuple(
+    "add agent answer ask build call check close code complete context create data done error file fix graph item list load mark next open "
+    "plan read remain run save set state step task test text todo turn update user wait write yes no left right start stop ok "
+    "milk bread grocery note query status active bound".split()
+)
+# End of fixed values.

@@ -1,115 +1,140 @@
-"""The stateful part: one conversation's turns folded in order into packs.
+"""Folds over conversations: each one's turns in order, through a state of bounded size.
 
-The extraction is set-based and comes first; the fold sees a few short rows a turn. Its state is
-bounded by the configured caps, so one conversation never needs more than its own turns in memory.
+Extraction is set-based and comes first. Then conversations are dealt by id and sorted within their
+partitions, and one Arrow pass streams the rows: a long conversation is never gathered, only its state
+and one batch are held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, EngineConfig
-from .facts import sentence_facts
-
-PACK_DDL = "conv_id long, t long, method string, packed_tokens long, budget long, novel_tokens long, context string"
-
-
-def tokens_of(text: str) -> int:
-    return (len(text) + 3) // 4
-
-
-def words_of(text: str) -> set[str]:
-    import re
-
-    return {w.lower() for w in re.findall(r"[A-Za-z0-9_./#-]+", text) if len(w) > 1}
-
-
-def overlap(a: set[str], b: set[str]) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
-
-
-@dataclass
-class ConversationState:
-    """What a conversation carries from turn to turn."""
-
-    facts: list[tuple[str, str, float, int]] = field(default_factory=list)  # sentence, kind, score, turn
-    history: list[tuple[int, int, frozenset[str]]] = field(default_factory=list)  # novel, packed, lines
-
-    def ingest(self, turn: int, facts: Iterable[tuple[str, str, float]], config: EngineConfig) -> None:
-        known = {f[0].lower() for f in self.facts}
-        self.facts += [(s, k, x, turn) for s, k, x in facts if s.lower() not in known]
-        self.facts = self.facts[-config.max_facts :]
-
-    def hot_set(self, config: EngineConfig) -> str:
-        """Decisions first, newest first, as many as fit."""
-        ranked = sorted(enumerate(self.facts), key=lambda p: (p[1][1] != "decision", -p[1][2], -p[1][3], p[0]))
-        out, used = [], 0
-        for _, (sentence, *_rest) in ranked:
-            if used + len(sentence) + 1 <= config.hot_chars:
-                out.append(sentence)
-                used += len(sentence) + 1
-        return "\n".join(out)
-
-    def budget(self, turn: int, config: EngineConfig) -> int:
-        last = self.history[-config.dedup_turns :]
-        packed = sum(p for _, p, _ in last)
-        rate = min(1.0, max(0.0, sum(n for n, _, _ in last) / packed)) if packed > 0 else 1.0
-        cap = config.forward_budget
-        return cap if turn <= config.warmup_turns else max(config.skip_floor, min(cap, int(cap * max(config.novelty_floor, rate))))
-
-    def pack(self, turn: int, config: EngineConfig) -> dict:
-        """Greedy first fit under the budget: the hot set, then facts that are new in the last turns
-        and not mostly said already. A later piece may fit where an earlier one did not."""
-        budget = self.budget(turn, config)
-        recent = frozenset().union(*(h for _, _, h in self.history[-config.dedup_turns :])) if self.history else frozenset()
-        hot = self.hot_set(config)
-        parts, used = [], 0
-        if hot:
-            head = ("HOT_SET:\n" + hot)[: 4 * budget]
-            parts.append(head)
-            used = tokens_of(head)
-        said, packed, extra = set(hot.lower().split("\n")), set(), 0
-        for sentence, *_rest in reversed(self.facts):
-            line, cost = f"Fact: {sentence}", tokens_of(f"Fact: {sentence}")
-            if sentence.lower() in said or line.lower() in recent or used + cost > budget:
-                continue
-            if packed and overlap(words_of(line), packed) > config.marginal_jaccard:
-                continue
-            parts.append(line)
-            used += cost
-            extra += 1
-            packed |= words_of(line)
-            said.add(sentence.lower())
-        text = "\n\n".join(parts)
-        if len(text) > 4 * budget:
-            text = text[: 4 * budget - 3].rstrip() + "..."
-        lines = [x.strip().lower() for x in text.split("\n") if x.strip()]
-        novel = sum(tokens_of(x) for x in lines if x not in recent)
-        total = tokens_of(text)
-        if turn > config.warmup_turns and self.history and total < config.skip_floor and novel == 0:
-            return {"t": turn, "method": "skip", "packed_tokens": 0, "budget": budget, "novel_tokens": 0, "context": ""}
-        self.history = (self.history + [(novel, total, frozenset(lines))])[-config.history_rows :]
-        method = "empty" if not text else "query-pack" if extra else "hot_set"
-        return {"t": turn, "method": method, "packed_tokens": total, "budget": budget, "novel_tokens": novel, "context": text}
+from ..functions import vectors as V
+from .chunk import chunks_of
+from .extract import with_features
+from .graph import Node
+from .pack import Memory, state_id
+
+PACK_DDL = (
+    "conv_id {id}, turn long, t long, method string, packed_tokens long, tokens_ws long, budget long, rate double, novel_tokens long, dup_tokens long, n_lines int, "
+    "hot_set string, n_turns int, n_topics int, n_facts int, n_items int, n_events int, n_durable int, n_superseded int, signature string, context string"
+)
+NODE_DDL = (
+    "conv_id {id}, node_id string, kind string, label string, summary string, status string, start_turn long, seq long, end_turn long, role string, hint string, state string, "
+    "durable boolean, salience double, reason string"
+)
+EDGE_DDL = "conv_id {id}, src string, dst string, rel string, turn long"
+STATE_DDL = "conv_id {id}, state_id string, parent_id string, t long, k int, d int, matrix array<array<float>>"
+
+Step = Callable[[dict], list[tuple]]
+
+
+def in_order(rows: DataFrame, start: Callable[[object], tuple[Step, Callable[[], list[tuple]]]], ddl: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """``start`` gives a conversation's functions: one for each row, in the order of ``turn``, and one
+    for its end; both return output rows. ``prepare`` adds columns row by row once the rows are dealt,
+    so that the shuffle carries texts and not what is found in them."""
+    schema = StructType.fromDDL(ddl.format(id=rows.schema["conv_id"].dataType.simpleString()))
+    arrow = to_arrow_schema(schema)
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step, end = object(), None, list
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["conv_id"] != key or step is None:
+                    out += end()
+                    key = row["conv_id"]
+                    step, end = start(key)
+                out += step(row)
+            if out:
+                yield table(out)
+        out = end()
+        if out:
+            yield table(out)
+
+    return prepare(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")).mapInArrow(run, schema)
 
 
 def conversation_packs(turns: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """One pack a turn of every conversation: (conv_id, t, method, packed_tokens, budget, ...)."""
-    facts = sentence_facts(turns, config).groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence", "kind_hint", "score"))).alias("facts"))
-    rows = turns.select("conv_id", "turn").join(facts, ["conv_id", "turn"], "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = ConversationState(), []
-        for turn, found in pdf.sort_values("turn")[["turn", "facts"]].itertuples(index=False):
-            state.ingest(int(turn), [(f["sentence"], f["kind_hint"], f["score"]) for f in (found if found is not None else [])], config)
-            out.append(state.pack(int(turn), config))
-        res = pd.DataFrame(out)
-        res.insert(0, "conv_id", pdf["conv_id"].iloc[0])
-        return res
-
-    return rows.groupBy("conv_id").applyInPandas(fold, PACK_DDL)
+    """One pack a turn of every conversation, as it would be sent for the last user turn by then."""
+
+    def start(conv: object):
+        memory = Memory(config)
+
+        def step(row: dict) -> list[tuple]:
+            t = memory.step(row["role"], row["features"])
+            p, g = memory.sample(), memory.graph
+            g.drain()
+            n = g.kind_counts()
+            counts = (n["Turn"], n["Topic"], n["Fact"], n["OpenItem"], n["Event"], g.durable_facts(), g.n_superseded)
+            return [(conv, row["turn"], t, p.method, p.packed_tokens, p.tokens_ws, p.budget, p.rate, p.novel_tokens, p.dup_tokens, len(p.hashes), g.hot_set(), *counts, g.item_signature(), p.text)]
+
+        return step, list
+
+    return in_order(turns.select("conv_id", "turn", "role", "text"), start, PACK_DDL, lambda rows: with_features(rows, config))
+
+
+def _node_row(conv: object, n: Node) -> tuple:
+    return conv, n.id, n.kind, n.label, n.summary, n.status, n.start, n.seq, n.end, n.role, n.hint, n.state, n.durable, n.salience, n.reason
+
+
+def _graph(turns: DataFrame, config: EngineConfig, ddl: str, edges: bool) -> DataFrame:
+    def start(conv: object):
+        memory = Memory(config)
+
+        def step(row: dict) -> list[tuple]:
+            memory.step(row["role"], row["features"])
+            closed, linked = memory.graph.drain()
+            return [(conv, *e) for e in linked] if edges else [_node_row(conv, n) for n in closed]
+
+        return step, lambda: [] if edges else [_node_row(conv, n) for n in memory.graph.active.values()]
+
+    return in_order(turns.select("conv_id", "turn", "role", "text"), start, ddl, lambda rows: with_features(rows, config))
+
+
+def graph_nodes(turns: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Every node that the conversations ever had, with the turns it was valid in."""
+    return _graph(turns, config, NODE_DDL, False)
+
+
+def graph_edges(turns: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    return _graph(turns, config, EDGE_DDL, True)
+
+
+def chunk_vectors(turns: DataFrame, config: EngineConfig = DEFAULT, seed: int = 0) -> DataFrame:
+    """(conv_id, turn, row, text, vector): the chunks of each turn, embedded."""
+    return chunks_of(turns, config.chunks_per_turn, config).withColumn("vector", V.embed(config.dim, seed)(F.col("text")))
+
+
+def matrix_states(turns: DataFrame, config: EngineConfig = DEFAULT, seed: int = 0) -> DataFrame:
+    """A state row a turn: the bounded matrix after that turn's chunks were appended and pooled."""
+    blank = V.embed_text("", config.dim, seed)
+
+    def embedded(text: str | None) -> np.ndarray:
+        from .chunk import chunk_text
+
+        return np.stack([V.embed_text(x, config.dim, seed) if x.strip() else blank for x in chunk_text(text, config.chunks_per_turn, config)])
+
+    def start(conv: object):
+        matrix, t = None, 0
+
+        def step(row: dict) -> list[tuple]:
+            nonlocal matrix, t
+            matrix = V.pool(matrix, embedded(row["text"]), config.k_max, config.ema)
+            t += 1
+            return [(conv, state_id(str(conv), t), state_id(str(conv), t - 1) if t > 1 else None, t, *matrix.shape, matrix.tolist())]
+
+        return step, list
+
+    return in_order(turns.select("conv_id", "turn", "text"), start, STATE_DDL)

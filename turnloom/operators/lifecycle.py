@@ -1,84 +1,46 @@
-"""Open and finished items: what a turn opens, closes, defers or reports, and which meets which.
-
-A family is (name, pattern, group, characters to strip at both ends, inner pattern or None). All
-families of an operator are found in one pass over the text; nothing is scanned twice.
-"""
+"""Open and finished items: what a turn opens, closes, defers or reports, and which meets which."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon as L
 from ..functions import text as T
-from .facts import KEYS, distinct_first, headings, sentence_facts
-
-Family = tuple[str, str, int, str, str | None]
-_INNER = "[\"']([^\"']+)[\"']"
-OPEN: tuple[Family, ...] = (
-    ("checkbox", L.UNCHECKED_RE, 1, r"\s", None),
-    ("todo", L.TODO_LINE_RE, 1, L.ITEM_EDGE, None),
-    ("next", L.NEXT_LINE_RE, 1, L.ITEM_EDGE, None),
-    ("label", L.OPEN_LINE_RE, 1, L.ITEM_EDGE, None),
-)
-DONE: tuple[Family, ...] = (
-    ("quoted", L.QUOTED_DONE_RE, 0, r"\s", _INNER),
-    ("verb", L.DONE_VERB_RE, 1, "[ .]", None),
-    ("line", L.DONE_LINE_RE, 1, L.ITEM_EDGE, None),
-    ("checkbox", L.CHECKED_RE, 1, r"\s", None),
-)
-OUTCOME: tuple[Family, ...] = (("outcome", L.OUTCOME_RE, 0, r"\s", None),)
-
-
-def _shape(name: str, edge: str, inner: str | None):
-    def run(x: Column) -> Column:
-        x = F.regexp_extract(x, inner, 1) if inner else x
-        return F.struct(F.lit(name).alias("family"), F.regexp_replace(x, f"^{edge}+|{edge}+$", "").alias("item"))
-
-    return run
-
-
-def items(turns: DataFrame, families: tuple[Family, ...], limit: int | None, width: int = 80) -> DataFrame:
-    """(conv_id, turn, pos, family, item): families in order, items in the text's order; of items
-    that differ by case alone the first. Empty items and those of one character go."""
-    found = []
-    for name, pattern, group, edge, inner in families:
-        every = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?imd)" + pattern), F.lit(group))
-        found.append(F.transform(every, _shape(name, edge, inner)))
-    rows = turns.select(*KEYS, F.posexplode(F.concat(*found)).alias("pos", "x")).select(*KEYS, "pos", "x.family", T.clip(F.col("x.item"), width).alias("item"))
-    return distinct_first(rows.where(F.length("item") >= 2), list(KEYS), "item", ["pos"], limit)
+from . import extract as X
+from .facts import KEYS, distinct_first, exploded, headings, sentence_facts
 
 
 def open_items(turns: DataFrame) -> DataFrame:
-    return items(turns, OPEN, 16)
+    """(conv_id, turn, pos, item, state, family)."""
+    return exploded(turns, list(KEYS), X.open_items(F.col("text")), "item", "state", "family")
 
 
 def done_items(turns: DataFrame) -> DataFrame:
-    return items(turns, DONE, None)
+    """(conv_id, turn, pos, item, family)."""
+    return exploded(turns, list(KEYS), X.done_items(F.col("text")), "item", "family")
 
 
 def outcome_items(turns: DataFrame) -> DataFrame:
-    return items(turns, OUTCOME, 8, 120)
+    return exploded(turns, list(KEYS), X.outcomes(F.col("text")))
 
 
 def deferred_items(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, pos, item): bullets under a heading of deferred work, up to the next heading
-    of its level or above; a deferred heading inside takes over the level."""
-    line = lambda pattern, group, x: F.regexp_extract(x, pattern, group)
-
-    def step(s, x):
-        level = F.length(line(r"^(#{1,6})\s+(.+)$", 1, x))
-        starts = (level > 0) & line(r"^(#{1,6})\s+(.+)$", 2, x).rlike("(?i)" + L.DEFERRED_HEADING_RE)
-        now = F.when(starts, level).when((level > 0) & (level <= s["level"]), 0).otherwise(s["level"])
-        bullet = line(L.BULLET_RE, 1, x)
-        label = F.regexp_replace(F.regexp_replace(bullet, "[*`]+", ""), r"\s+", " ")
-        label = F.regexp_replace(T.clip(T.strip(label), 80), "^[ .]+|[ .]+$", "")
-        keep = ~starts & (now > 0) & (label != "")
-        return F.struct(now.cast("int").alias("level"), F.when(keep, F.concat(s["found"], F.array(label))).otherwise(s["found"]).alias("found"))
-
-    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<string>").alias("found"))
-    found = F.aggregate(F.split(F.coalesce("text", F.lit("")), "\n"), start, step, lambda s: s["found"])
-    return turns.select(*KEYS, F.posexplode(found).alias("pos", "item"))
+    """(conv_id, turn, pos, item): bullets of sections of deferred work."""
+    return exploded(turns, list(KEYS), X.deferred_section(F.col("text")))
+
+
+def design_facts(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, pos, summary, hint)."""
+    return exploded(turns, list(KEYS), X.design_facts(F.col("text")), "summary", "hint")
+
+
+def topic_labels(turns: DataFrame, limit: int = 8) -> DataFrame:
+    """(conv_id, turn, pos, item): labelled topics, top headings, and names that a turn uses twice."""
+    text = F.col("text")
+    heads = F.transform(F.filter(X.headings(text), lambda x: x["level"] <= 2), lambda x: x["heading"])
+    twice = F.transform(F.filter(X.names(text), lambda x: x["n"] >= 2), lambda x: x["name"])
+    found = F.filter(F.concat(X.topic_lines(text), heads, twice), lambda x: F.length(x) >= 2)
+    return exploded(turns, list(KEYS), T.first_distinct(found, limit=limit))
 
 
 def closures(turns: DataFrame) -> DataFrame:

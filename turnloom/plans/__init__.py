@@ -1 +1 @@
-"""plans of the engine."""
+"""Whole plans: the offline scenario with its measures, prompts, and the catalogue of queries."""

@@ -5,15 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
-from .functions import lexicon as L
 from .functions import text as T
 from .functions import vectors as V
-from .operators import facts, fold, lifecycle, views
+from .operators import facts, lifecycle, views
 from .sources import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +71,18 @@ def turn_jaccard_prev(spark, d):
     return rows.select("conv_id", "turn", F.round(T.jaccard(F.col("k"), F.col("p")), 9).alias("j"))
 
 
+#: Written out apart from the library's patterns, so that a wrong one there shows.
+_REDACTIONS = (
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>"),
+    (r"\b(?:cursor_|sk-|ghp_|github_pat_|xox[baprs]-|AIza)[A-Za-z0-9_\-\.]{8,}\b", "<KEY>"),
+    (r"(?i)\b(?:bearer|api[_-]?key|token)\s*[:=]\s*\S+", "<CREDENTIAL>"),
+    (r"/(?:Users|home)/[^/\s]+", "<HOME>"),
+    (r"[ \t]{2,}", " "),
+)
+
+
 def _redact_sql(x: str) -> str:
-    for pattern, to in ((L.EMAIL_RE, "<EMAIL>"), (L.KEY_RE, "<KEY>"), (L.CREDENTIAL_RE, "<CREDENTIAL>"), (L.HOME_RE, "<HOME>"), (r"[ \t]{2,}", " ")):
+    for pattern, to in _REDACTIONS:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return _STRIP.format(x)
 
@@ -106,8 +114,8 @@ _SCORED = f"""u AS (SELECT conv_id, turn, text, last_value(CASE WHEN role = 'use
 s AS (SELECT conv_id, turn, prior, unnest({_SENTENCES}) AS raw, unnest(range(0, len({_SENTENCES}))) AS pos FROM u),
 t AS (SELECT conv_id, turn, pos, prior, CASE WHEN length(raw) <= 240 THEN raw ELSE substring(raw, 1, 237) || '...' END AS sentence
   FROM (SELECT * REPLACE ({_STRIP.format("raw")} AS raw) FROM s) WHERE length(raw) >= 20),
-f AS (SELECT conv_id, turn, pos, sentence, ({_on(L.DECISION_RE, 3.0)} + {_on(L.TRADEOFF_RE, 1.5)} + {_on(L.NUMERIC_RE, 1.0)} + {_on(L.DEFINE_RE, 2.0)} + {_on(L.PREAMBLE_RE, -3.0)}
-  + 1.5 * least(len(regexp_extract_all(sentence, '(?i){L.IDENT_RE}')), 4)
+f AS (SELECT conv_id, turn, pos, sentence, ({_on(r"\b(decided|chose|instead of|because|so that|constraint|invariant|must not|rather than|the fix is|impose|should not|reveal rule|contract|policy)\b", 3.0)} + {_on(r"\b(vs\.?|versus|trade-?off|rather than|instead of|compared to)\b", 1.5)} + {_on(r"\b\d+(\.\d+)?\s*(pages?|%|percent|tokens?|chars?|hours?|ms|kb|mb|lines?|chapters?|turns?)\b", 1.0)} + {_on(r"\b(is defined as|means that|defines |definition|fix:|replaces|maps? that)\b|\b\w+ is a \b", 2.0)} + {_on(r"^\s*(let me|i'll|i will|i'm going to|i am going to|reading|checking|running|thanks|thank you|got it|sure[,.]|looking at|let's see|i can |i'm finding|i read )\b", -3.0)}
+  + 1.5 * least(len(regexp_extract_all(sentence, '(?i)\\b(phi|φ|part ii|part i|tier-?\\d|c\\d{{2}}-\\d{{2}}|unicity|hourglass|shannon)\\b')), 4)
   + CASE WHEN coalesce(prior, '') <> '' AND (CASE WHEN len(list_distinct(list_concat({_kw("sentence")}, {_kw("prior")}))) = 0 THEN 1.0
       ELSE len(list_intersect({_kw("sentence")}, {_kw("prior")})) / len(list_distinct(list_concat({_kw("sentence")}, {_kw("prior")}))) END) >= 0.6 THEN -4.0 ELSE 0.0 END)::DOUBLE AS score FROM t)"""
 
@@ -129,11 +137,14 @@ def prior_user_text(spark, d):
     return facts.with_prior_user(_turns(spark, d)).select("conv_id", "turn", F.md5(F.coalesce("prior_user", F.lit("")).cast("binary")).alias("h"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '["'']([^"'']{2,80})["'']', 1)) AS item, unnest(range(0, len(regexp_extract_all(text, '["'']([^"'']{2,80})["'']')))) AS pos FROM documents),
-s AS (SELECT doc_id, pos, regexp_replace(item, '^\s+|\s+$', '', 'g') AS item FROM m),
-u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY pos) AS n FROM s WHERE item <> ''),
-r AS (SELECT doc_id, pos, item, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM u WHERE n = 1)
-SELECT doc_id, pos::BIGINT AS pos, item FROM r WHERE k <= 8""")
+@query(r"""WITH m AS (SELECT doc_id, list_concat(list_transform(regexp_extract_all(text, '["'']([^"'']{2,80})["'']', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+  list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '(?i)\badd\b[:\s]+(.+)', 1), lambda x: string_split(x, ','))), lambda p: regexp_replace(p, '^[ .]+|[ .]+$', '', 'g')),
+    lambda p: length(p) BETWEEN 2 AND 40 AND NOT contains(substring(p, 2), ' '))) AS found FROM documents),
+f AS (SELECT doc_id, list_filter(found, lambda x: length(x) BETWEEN 2 AND 80) AS found FROM m),
+s AS (SELECT doc_id, unnest(found) AS item, unnest(range(0, len(found))) AS p FROM f),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY p) AS n FROM s),
+r AS (SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos FROM u WHERE n = 1)
+SELECT doc_id, pos::BIGINT AS pos, item FROM r WHERE pos < 8""")
 def quoted_items_documents(spark, d):
     return facts.quoted_items(_table(spark, d, "documents"), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "item")
 
@@ -158,14 +169,6 @@ def replay_tokens(spark, d):
     return views.replay_tokens(_turns(spark, d))
 
 
-@query(f"""WITH r AS (SELECT ({_TAU.format("text")}) AS tokens, sum({_TAU.format("text")}) OVER (PARTITION BY conv_id ORDER BY turn) AS replay FROM conversations),
-s AS (SELECT sum(replay)::BIGINT AS replayed, sum(least(tokens, 1024))::BIGINT AS packed FROM r)
-SELECT replayed, packed, replayed - packed AS delta, round(1 - packed / replayed, 9) AS eta FROM s""")
-def savings_delta_eta(spark, d):
-    rows = views.replay_tokens(_turns(spark, d)).withColumn("packed_tokens", F.least("tokens", F.lit(DEFAULT.forward_budget)))
-    return views.savings(rows)
-
-
 _NOVELTY = rf"""l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations),
 h AS (SELECT conv_id, turn, substring(sha1(lower({_STRIP.format("line")})), 1, 16) AS h, ({_TAU.format("line")}) AS n FROM l WHERE {_STRIP.format("line")} <> ''),
 q AS (SELECT *, count(*) OVER (PARTITION BY conv_id, h ORDER BY turn RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) > 0 AS dup FROM h),
@@ -211,45 +214,11 @@ def l2_normalize(spark, d):
     return _table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 6).alias("s"))
 
 
-@query("SELECT quantile_disc(t, 0.5)::BIGINT AS median, quantile_disc(t, 0.95)::BIGINT AS p95 FROM (SELECT " + _TAU.format("text") + " AS t FROM conversations)")
-def packed_median(spark, d):
-    t = T.estimate_tokens(F.col("text")).alias("t")
-    return _turns(spark, d).select(t).selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t) AS median", "percentile_disc(0.95) WITHIN GROUP (ORDER BY t) AS p95").selectExpr("CAST(median AS BIGINT) AS median", "CAST(p95 AS BIGINT) AS p95")
-
-
 @query("SELECT role, count(*)::BIGINT AS n, count(DISTINCT conv_id)::BIGINT AS n_conv FROM conversations GROUP BY role")
 def session_turn_stats(spark, d):
     return _turns(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("n_conv"))
 
 
-MARKED = (
-    (1, 0, "user", "# Plan\n- [ ] write docs\n- [x] set up ci\n## Next steps\ntodo"),
-    (1, 1, "assistant", "Fine.\n# Plan\n* [ ] Write docs\n* [X] tests\n### Deep"),
-    (2, 0, "user", "no marks here"),
-)
-_MARKED_SQL = "v(conv_id, turn, role, text) AS (VALUES " + ", ".join(f"({c}, {t}, '{r}', '" + x.replace("\n", "' || chr(10) || '") + "')" for c, t, r, x in MARKED) + ")"
-
-
-def _marked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*m,) for m in MARKED], "conv_id long, turn long, role string, text string")
-
-
-_LINES = "l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM v)"
-
-
-@query(rf"""WITH {_MARKED_SQL}, {_LINES}, h AS (SELECT conv_id, turn, pos, length(regexp_extract(line, '^(#{{1,6}})\s', 1)) AS level, {_STRIP.format("regexp_extract(line, '^#{1,6}\\s+(.+)$', 1)".replace(chr(92) * 2, chr(92)))} AS heading FROM l WHERE regexp_matches(line, '^#{{1,6}}\s+\S')),
-u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(heading) ORDER BY pos) AS n FROM h WHERE length(heading) >= 2)
-SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, pos::BIGINT AS pos, level::BIGINT AS level, heading FROM u WHERE n = 1""")
-def headings(spark, d):
-    return facts.headings(_marked(spark)).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "heading")
-
-
-@query(rf"""WITH {_MARKED_SQL}, {_LINES} SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, pos::BIGINT AS pos, regexp_extract(line, '^\s*[-*]\s+\[[ xX]\]\s+(.+)$', 1) AS item,
-CASE WHEN regexp_extract(line, '^\s*[-*]\s+\[([ xX])\]', 1) = ' ' THEN 'open' ELSE 'done' END AS state FROM l WHERE regexp_matches(line, '^\s*[-*]\s+\[[ xX]\]\s+\S')""")
-def checkbox_items(spark, d):
-    return facts.checkbox_items(_marked(spark)).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "item", "state")
-
-
 @query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, md5(" + _redact_sql("text") + ") AS h FROM conversations WHERE role IN ('user', 'assistant', 'system')")
 def transcript_roundtrip(spark, d):
     """Turns written as JSON lines and read back."""
@@ -262,94 +231,6 @@ def hash_embed_blake2b(spark, d):
     return _turns(spark, d).select("conv_id", "turn", V.embed(DEFAULT.dim)(F.col("text")).alias("vector"))
 
 
-@query()
-def append_then_pool(spark, d):
-    """Each conversation's bounded matrix after all its turns."""
-    rows = _turns(spark, d).select("conv_id", "turn", V.embed(DEFAULT.dim)(F.col("text")).alias("v"))
-
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = V.append_then_pool(list(pdf.sort_values("turn")["v"]), DEFAULT.k_max, DEFAULT.ema)
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "slot": range(len(m)), "vector": list(m)})
-
-    return rows.groupBy("conv_id").applyInPandas(pool, "conv_id long, slot long, vector array<double>")
-
-
-@query()
-def pack_forward(spark, d):
-    return fold.conversation_packs(_turns(spark, d))
-
-
-LIFE = (
-    (1, 0, "user", "TODO: write docs\n- [ ] ship it\nnext: call Bob\nremaining: tests\n- [ ] Ship It"),
-    (1, 1, "assistant", 'Drafted "write docs", rest later.\nfixed: tests\nvalidation passed; 3 broken links; fixed src/a.py now'),
-    (1, 2, "user", "## Deferred\n- move db\n### Sub\n* rename `x`\n## Other\n- not this"),
-    (1, 3, "assistant", "# Out of scope\n- x1\ntext\n- [x] x2\nmark 'ship it'\n## Left unresolved\n- deep\n## Again\n- gone"),
-    (2, 0, "user", "nothing here"),
-    (2, 1, "assistant", "call Bob done"),
-    (3, 0, "user", ""),
-)
-_LIFE_SQL = "v(conv_id, turn, role, text) AS (VALUES " + ", ".join(f"({c}::BIGINT, {t}::BIGINT, '{r}', '" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for c, t, r, x in LIFE) + ")"
-
-
-def _life(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*m,) for m in LIFE], "conv_id long, turn long, role string, text string")
-
-
-def _items_sql(families: tuple[lifecycle.Family, ...], limit: int | None, width: int, name: str) -> str:
-    def one(family: lifecycle.Family) -> str:
-        label, pattern, group, edge, inner = (x.replace("'", "''") if isinstance(x, str) else x for x in family)
-        x = f"regexp_extract(x, '{inner}', 1)" if inner else "x"
-        return f"list_transform(regexp_extract_all(text, '(?im){pattern}', {group}), lambda x: '{label}' || chr(1) || regexp_replace({x}, '^{edge}+|{edge}+$', '', 'g'))"
-
-    every = f"flatten([{', '.join(one(f) for f in families)}])"
-    return f"""{name}_a AS (SELECT conv_id, turn, unnest({every}) AS x, unnest(range(0, len({every}))) AS pos FROM v),
-{name}_b AS (SELECT conv_id, turn, pos, string_split(x, chr(1))[1] AS family, string_split(x, chr(1))[2] AS raw FROM {name}_a),
-{name}_c AS (SELECT conv_id, turn, pos, family, CASE WHEN length(raw) <= {width} THEN raw ELSE substring(raw, 1, {width - 3}) || '...' END AS item FROM {name}_b WHERE length(raw) >= 2),
-{name}_d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(item) ORDER BY pos) AS n FROM {name}_c),
-{name}_e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM {name}_d WHERE n = 1),
-{name} AS (SELECT conv_id, turn, pos::BIGINT AS pos, family, item FROM {name}_e WHERE k <= {limit or 10**9})"""
-
-
-_OPEN_SQL, _DONE_SQL = _items_sql(lifecycle.OPEN, 16, 80, "o"), _items_sql(lifecycle.DONE, None, 80, "d")
-
-
-def _with_pos(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("pos", F.col("pos").cast("long"))
-
-
-@query(f"WITH {_LIFE_SQL}, {_OPEN_SQL} SELECT * FROM o")
-def open_items(spark, d):
-    return _with_pos(lifecycle.open_items(_life(spark)))
-
-
-@query(f"WITH {_LIFE_SQL}, {_DONE_SQL} SELECT * FROM d")
-def done_items(spark, d):
-    return _with_pos(lifecycle.done_items(_life(spark)))
-
-
-@query(f"WITH {_LIFE_SQL}, {_items_sql(lifecycle.OUTCOME, 8, 120, 'r')} SELECT * FROM r")
-def outcome_items(spark, d):
-    return _with_pos(lifecycle.outcome_items(_life(spark)))
-
-
-@query()
-def deferred_items(spark, d):
-    return _with_pos(lifecycle.deferred_items(_life(spark)))
-
-
-@query(f"""WITH {_LIFE_SQL}, {_OPEN_SQL}, {_DONE_SQL},
-m AS (SELECT d.conv_id, d.turn, d.item AS done, o.turn AS open_turn, o.item AS opened, row_number() OVER (PARTITION BY d.conv_id, d.turn, d.item ORDER BY o.turn DESC, o.pos DESC) AS n
-  FROM d JOIN o ON d.conv_id = o.conv_id AND o.turn < d.turn AND (contains(lower(d.item), lower(o.item)) OR contains(lower(o.item), lower(d.item))))
-SELECT conv_id, turn, done, open_turn, opened FROM m WHERE n = 1""")
-def item_closures(spark, d):
-    return lifecycle.closures(_life(spark))
-
-
-@query(ORACLES["headings"] + " AND level <= 2")
-def headings_h1_h2(spark, d):
-    return lifecycle.top_headings(_marked(spark)).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "heading")
-
-
 @query(f"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM conversations),
 s AS (SELECT conv_id, turn, pos, {_STRIP.format("line")} AS line FROM l),
 u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(line) ORDER BY turn, pos) AS n FROM s WHERE line <> '')
@@ -380,3 +261,6 @@ def vocab_alignment(spark, d):
     a = _table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS i", "n_name AS token")
     b = _table(spark, d, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS j", "r_name AS token")
     return lifecycle.align_vocabularies(a, b).select("i", "j", F.round("mass", 9).alias("mass"))
+
+
+from .plans import catalog as _catalog  # noqa: E402, F401  registers the rest
