@@ -106,8 +106,10 @@ def let(x: Column, f) -> Column:
 
 
 def first_distinct(xs: Column, key=F.lower, limit: int | None = None) -> Column:
-    """The first of the elements that share a key, in order."""
-    kept = let(F.transform(xs, key), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+    """The first of the elements that share a key, in order: sorted by key and place, then by place."""
+    placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    heads = let(placed, lambda s: F.filter(s, lambda y, j: (j == 0) | (y["k"] != F.get(s, j - 1)["k"])))
+    kept = F.transform(F.array_sort(F.transform(heads, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
     return kept if limit is None else F.slice(kept, 1, limit)
 
 

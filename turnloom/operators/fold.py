@@ -63,7 +63,9 @@ def in_order(rows: DataFrame, start: Callable[[object], tuple[Step, Callable[[],
         if out:
             yield table(out)
 
-    return prepare(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")).mapInArrow(run, schema)
+    # as many partitions as the session shuffles into: the work is in the rows, so small ones are not joined
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prepare(rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn")).mapInArrow(run, schema)
 
 
 def conversation_packs(turns: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
