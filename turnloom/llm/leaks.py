@@ -31,6 +31,7 @@ from . import common as C
 WINDOW = 10
 SEGMENT_BYTES = 1 << 21
 BLOCK_BYTES = 8 << 20
+SALTS = 32
 
 INDEX_SCHEMA = "doc_ids array<{id}>, first binary, terms binary, bounds binary, places binary, hits binary, items array<array<string>>"
 
@@ -293,8 +294,10 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0)
     key = F.unhex(F.md5(C.whole_text().cast("binary")))
     found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark)
     bad = found.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("doc_id").alias("bad")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    return rows.join(bad, rows["key"] == bad["bad"], "left_anti").select("row.*")
+    # any text may be that of a third of all rows: rows are dealt by text and salt, verdicts to all salts
+    bad = bad.withColumn("bad_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(bad, (rows["key"] == bad["bad"]) & (rows["salt"] == bad["bad_salt"]), "left_anti").select("row.*")
 
 
 ORACLE = r"""

@@ -38,6 +38,7 @@ from . import common as C
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 21
+HOT = 1000  # a text of more than a thousandth of all rows is hot
 _CONTEXT = 290  # bytes of an average context, to plan shards
 
 
@@ -454,7 +455,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes:
     anchors = C.cut(anchors.groupBy("name", "key").agg(F.max("n").alias("n")), "anchors")
     names = anchors.groupBy("name").agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1 OR lo < hi").select("name", "n")
     wanted = anchors.select("name", "key").join(names, "name").groupBy("key").agg(F.collect_list(F.struct("name", "n")).alias("names"))
-    copies = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    copies = C.cut(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
+    rows = int(copies.agg(F.sum("copies")).first()[0] or 0)
     # inside the shards a text goes by a number, which this table fixes
     wanted = C.cut(wanted.join(copies, "key").select("key", F.monotonically_increasing_id().alias("num"), "rep", "names"), "wanted")
     C.forget(anchors)
@@ -474,7 +476,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes:
     info = many.join(spans, many["key"] == spans["text_key"], "full_outer").select(F.coalesce("key", "text_key").alias("k"), F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
     info = C.cut(info, "spans")
     C.forget(judged, wanted)
-    return keyed.select("row", "key").join(info, keyed["key"] == info["k"], "left").select("row", "copies", "spans")
+    # at most HOT texts are hot. Their rows, which go whole or not at all, meet the number of their
+    # copies where they are; the rest meet theirs by key
+    hot = copies.where("copies > 1").where(F.col("copies") * HOT > F.lit(rows)).select("key", "copies")
+    warm = keyed.select("row", "key").join(F.broadcast(hot), "key").select("row", "copies", F.lit(None).cast("array<binary>").alias("spans"))
+    cold = keyed.select("row", "key").join(F.broadcast(hot.select("key")), "key", "left_anti")
+    return warm.unionByName(cold.join(info, cold["key"] == info["k"], "left").select("row", "copies", "spans"))
 
 
 def removed_mask(n: int, copies: int | None, spans: list[bytes] | None, length: int) -> np.ndarray:
