@@ -90,7 +90,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, lanes: int = 2048) -> np.ndarray:
+def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, lanes: int = 16384) -> np.ndarray:
     """Common prefix (up to ``cap``) of each suffix in ``sa`` with the one before it.
 
     Kasai's scan in text order loses one byte a step and gains by comparing on; here many stretches
@@ -111,22 +111,23 @@ def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, lanes: i
     size = -(-n // lanes)
     start = np.arange(0, n, size)
     h = np.zeros(len(start), np.int64)
+    tied = np.zeros(n, bool)  # suffixes that share a rank with the one before them
+    tied[sa[1:]] = rank[sa[1:]] == rank[sa[:-1]]
     plcp = np.zeros(n, np.int64)
     for s in range(size):
         i = start + s
         on = i < n
         i = np.minimum(i, n - 1)
         j = before[i]
-        tie = (j >= 0) & (rank[i] == rank[j])
+        tie = tied[i]
         h = np.where(tie, cap, np.where((h >= cap) | (j < 0), 0, np.maximum(h - 1, 0)))
         act = np.flatnonzero(on & (j >= 0) & ~tie)
         while len(act):
             x, y = i[act] + h[act], j[act] + h[act]
             room = np.minimum(cap - h[act], n - np.maximum(x, y))
-            diff = eight[np.minimum(x, n)] ^ eight[np.minimum(y, n)]
+            diff = eight[x] ^ eight[y]
             # bytes that agree before the first difference (little endian: the lowest set byte)
-            low = diff & (~diff + C._U(1))
-            same = np.where(diff == 0, 8, np.floor(np.log2(np.maximum(low, 1).astype(np.float64))).astype(np.int64) >> 3)
+            same = np.bitwise_count((diff & (~diff + C._U(1))) - C._U(1)).astype(np.int64) >> 3
             gain = np.minimum(same, np.maximum(room, 0))
             h[act] += gain
             act = act[(gain == 8) & (room > 8)]
@@ -445,13 +446,13 @@ def _merge(length: int):
 # ------------------------------------------------------------------ the operator
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = 1 << 20, shard_bytes: int = SHARD_BYTES, n_shards: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, name_bytes: int = 1 << 17, part_bytes: int = 1 << 20, shard_bytes: int = SHARD_BYTES, n_shards: int | None = None) -> DataFrame:
     """(row, copies, spans): each row of ``docs``, how many rows have its text, and the repeated
     ranges of the text, as lists of packed starts and ends."""
     spark = docs.sparkSession
     text = C.whole_text()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-    anchors = keyed.select("key", "text").mapInArrow(_anchors(length, gram, part_bytes), "name long, key binary, n long")
+    anchors = keyed.select("key", "text").mapInArrow(_anchors(length, gram, name_bytes), "name long, key binary, n long")
     anchors = C.cut(anchors.groupBy("name", "key").agg(F.max("n").alias("n")), "anchors")
     names = anchors.groupBy("name").agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1 OR lo < hi").select("name", "n")
     wanted = anchors.select("name", "key").join(names, "name").groupBy("key").agg(F.collect_list(F.struct("name", "n")).alias("names"))
