@@ -193,13 +193,13 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
-    """A bijective finaliser: every input bit reaches every output bit."""
-    with np.errstate(over="ignore"):
-        h = h ^ (h >> _U(30))
-        h = h * _U(0xBF58476D1CE4E5B9)
-        h = h ^ (h >> _U(27))
-        h = h * _U(0x94D049BB133111EB)
-        return h ^ (h >> _U(31))
+    """A bijective finaliser: every input bit reaches every output bit. Arrays wrap around silently."""
+    h = h ^ (h >> _U(30))
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(27)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(31)
+    return h
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
