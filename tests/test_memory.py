@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.config import DEFAULT, EngineConfig
+from turnloom.functions import producers
 from turnloom.functions import vectors as V
 from turnloom.operators import bridge, chunk, extract, facts, fold, rank
 from turnloom.operators.graph import ContextGraph, keywords, overlap
@@ -215,6 +216,25 @@ def test_a_memory_sends_less_of_what_it_sent(features_of):
     assert p1.sample(p1="todo paint wall").method == "p1-debug"
 
 
+def test_targets_of_a_sample(features_of):
+    m, matrix = Memory(), np.ones((3, 256), np.float32)
+    m.step("user", features_of("Create todo \"paint\" for the wall")[0])
+    b, a = bridge.Bridge(), bridge.Adapter(256, 8)
+    assert m.sample_for("text", matrix, bridge=b).method == "query-pack" and m.sample_for("text").packed_tokens > 0
+    assert np.allclose(m.sample_for("local:x", matrix, bridge=b), b.expectation(matrix)) and m.sample_for("local:x", matrix, adapter=a).shape == (3, 8)
+    with pytest.raises(ValueError):
+        m.sample_for("elsewhere", matrix)
+
+
+def test_producers_by_name(spark, monkeypatch):
+    monkeypatch.setenv("TURNLOOM_EMBED", " ")
+    assert producers.chosen() == producers.HASHED
+    rows = spark.createDataFrame([("a b",), (None,)], "t string")
+    assert rows.select(producers.embed(dim=8)("t").alias("v")).where("size(v) = 8").count() == 2
+    with pytest.raises(Exception, match="sentence_transformers"):
+        rows.select(producers.embed("some-model", 8)("t")).collect()
+
+
 def test_summary_of_the_scenario(spark):
     rows = scenario.scenario(spark.read.parquet(f"{DATA}/conversations.parquet")).cache()
     one = scenario.summary(rows).first()
@@ -374,6 +394,8 @@ def test_stores_append_only_and_look_up(spark, tmp_path):
         store.freeze(nodes, edges, str(tmp_path / "frozen"), name)
     assert spark.read.parquet(str(tmp_path / "frozen/nodes")).where("snapshot = 's1'").count() == nodes.count()
     assert store.kind_counts(nodes).first().OpenItem == 1
+    store.save_alignment(spark.createDataFrame([(0, 1, 0.5)], "i long, j long, mass double"), str(tmp_path / "map"))
+    assert spark.read.parquet(str(tmp_path / "map")).first().mass == 0.5
 
 
 # ------------------------------------------------------------------ events

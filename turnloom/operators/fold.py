@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, EngineConfig
+from ..functions import producers
 from ..functions import vectors as V
 from .chunk import chunks_of
 from .extract import with_features
@@ -114,9 +115,9 @@ def graph_edges(turns: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     return _graph(turns, config, EDGE_DDL, True)
 
 
-def chunk_vectors(turns: DataFrame, config: EngineConfig = DEFAULT, seed: int = 0) -> DataFrame:
-    """(conv_id, turn, row, text, vector): the chunks of each turn, embedded."""
-    return chunks_of(turns, config.chunks_per_turn, config).withColumn("vector", V.embed(config.dim, seed)(F.col("text")))
+def chunk_vectors(turns: DataFrame, config: EngineConfig = DEFAULT, seed: int = 0, producer: str | None = None) -> DataFrame:
+    """(conv_id, turn, row, text, vector): the chunks of each turn, embedded by the producer of that name."""
+    return chunks_of(turns, config.chunks_per_turn, config).withColumn("vector", producers.embed(producer, config.dim, seed)(F.col("text")))
 
 
 def matrix_states(turns: DataFrame, config: EngineConfig = DEFAULT, seed: int = 0) -> DataFrame:

@@ -167,6 +167,16 @@ class Memory:
                 self.history = [*self.history, sent][-c.history_rows :]
         return pack
 
+    def sample_for(self, target: str, matrix=None, query: str | None = None, bridge=None, adapter=None):
+        """What a target reads: a pack for "text", the words of the matrix with it where these are let in;
+        for "local:<id>" the matrix in that model's space, by the adapter or else by expectation. Anything
+        else is refused."""
+        if target == "text" or matrix is None:
+            return self.sample(query, " ".join(bridge.decode(matrix)) if bridge is not None and matrix is not None else "")
+        if target.startswith("local:"):
+            return adapter.forward(matrix) if adapter is not None else bridge.expectation(matrix)
+        raise ValueError(f"unknown target: {target}")
+
     def context(self, pack: Pack, agent: str) -> str:
         """What goes to the model: a banner, the pack (or the hot set), and where the memory stands."""
         parts = ["TURNLOOM session memory (prefer HOT_SET / typed / ranked lines; do not restate full history)."]

@@ -119,6 +119,11 @@ def as_of(nodes: DataFrame, turn: int) -> DataFrame:
     return nodes.where((F.col("start_turn") <= turn) & (F.col("end_turn").isNull() | (F.col("end_turn") > turn)))
 
 
+def save_alignment(edges: DataFrame, path: str) -> None:
+    """A vocabulary alignment (i, j, mass) as a table; nothing of it is a dense matrix."""
+    edges.select("i", "j", "mass").write.mode("overwrite").parquet(path)
+
+
 def active(nodes: DataFrame) -> DataFrame:
     return nodes.where("status = 'active' AND end_turn IS NULL")
 
