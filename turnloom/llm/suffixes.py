@@ -401,6 +401,7 @@ def _judge(length: int, n_ranges: int, shard_bytes: int):
             for x, y in zip(cut, np.append(cut[1:], len(o2)), strict=True):
                 p = o2[x:y]
                 rows.append(("list", int(r[p[0]]), None, _z(finger[p]), _z(key[p]), _z(place[p].astype(np.int64))))
+        C.trim()  # between groups, not only between batches: a worker judges many shards
         return _out(rows)
 
     return run
