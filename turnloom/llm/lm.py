@@ -144,6 +144,7 @@ def _count_words(hot_at: int):
         r = t["r"][0].as_py()
         out = [("answer", s, r, 0, _pack(c[inv[e - n : e]]), None) for s, n, e in zip(segs, sizes, ends, strict=True)]
         out.append(("sum", "", r, int((c > 0).sum()), u[c >= hot_at].tobytes(), None))
+        C.trim()
         return _table(out, _ANSWER)
 
     return run
@@ -225,6 +226,7 @@ def _count_bigrams(hot):
             i = inv[e - n : e]
             out.append(("answer", s, r, 0, _pack(c2[i].astype(np.int32)), _pack(t2[i].astype(np.int32))))
         out.append(("sum", "", r, 0, cu[is_hot].tobytes(), follow[is_hot].tobytes()))
+        C.trim()
         return _table(out, _ANSWER)
 
     return run
@@ -317,6 +319,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, min_state: int = MIN_STAT
             for r, b, e in _groups(x["r"]):
                 o = x["order"][b:e]
                 rows.append((one["seg"], r, *_pack_asked(x["ctx"][o], x["word"][o]), _pack(n[o])))
+        C.trim()
         return _table(rows, fields)
 
     words = counted.where("kind = 'answer'").select("seg", "r", "a")
