@@ -57,12 +57,6 @@ def merge_forward(hot: str = "", extractive: str = "", p1: str = "", most: int =
     return "\n".join(parts), ("extractive+hot" if more else "hot_set") if hot else "extractive" if more else "hot_set"
 
 
-def classify_method(producer: str, sampled_via: str) -> str:
-    if sampled_via in ("p2", "extractive+hot", "extractive", "hot_set", "p1-debug", "query-pack"):
-        return sampled_via
-    return ("digest+p1" if producer == "embed" else "gist-hf+p1") if sampled_via == "p1" else "digest"
-
-
 def alignment(a: list[str], b: list[str]) -> np.ndarray:
     """``lifecycle.align_vocabularies`` as a matrix, for vocabularies that fit a broadcast."""
     m = np.zeros((len(a), len(b)), np.float32)
